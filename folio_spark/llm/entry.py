@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["split", "cutoff", "pairs", "boilerplate", "residue"]
+MODULES = ["split", "cutoff", "pairs", "boilerplate", "scans", "residue"]
 
 
 def _merged(what: str) -> dict:
