@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["split", "cutoff", "pairs", "history", "boilerplate", "scans", "residue"]
+MODULES = ["split", "cutoff", "pairs", "tokens", "history", "boilerplate", "scans", "packing", "mixing", "residue"]
 
 
 def _merged(what: str) -> dict:
