@@ -1,0 +1,64 @@
+"""Run configuration: defaults, overrides, presets."""
+
+from __future__ import annotations
+
+import json
+from dataclasses import asdict, dataclass, fields, replace
+from hashlib import sha256
+
+DPI = ("72", "144", "200", "300")
+#: Named sets of overrides.
+PRESETS: dict[str, dict] = {
+    "fast": {"summarizer_mode": "api", "skip_images": True},
+    "deep": {"run_summarization": True, "max_tokens_per_page": 200_000, "keep_base64_images": True},
+    "text": {"text_only": True, "run_summarization": False},
+}
+
+
+@dataclass(frozen=True)
+class PipelineConfig:
+    run_extraction: bool = True
+    extract_only: bool = False
+    skip_tables: bool = False
+    skip_images: bool = False
+    text_only: bool = False
+    page_range: str | None = None
+    pdf_image_dpi: str = "144"
+    vision_mode: str = "off"
+    chunk_size: int = 3000
+    chunk_overlap: int = 80
+    run_summarization: bool = True
+    summarizer_mode: str = "api"
+    max_tokens_per_page: int = 100_000
+    max_seconds_per_page: int = 300
+    keep_base64_images: bool = False
+
+    def __post_init__(self) -> None:
+        if str(self.pdf_image_dpi) not in DPI:
+            raise ValueError(f"pdf_image_dpi must be one of {', '.join(DPI)}")
+
+    def merged(self, overrides: dict) -> "PipelineConfig":
+        """With the overrides that are fields; others are ignored, nulls keep the value there was."""
+        names = {f.name for f in fields(self)}
+        known = {k: v for k, v in overrides.items() if k in names and v is not None}
+        if "pdf_image_dpi" in known:
+            known["pdf_image_dpi"] = str(known["pdf_image_dpi"])
+        return replace(self, **known)
+
+    def with_settings(self, settings: list[str]) -> "PipelineConfig":
+        """``name=value`` settings; values are JSON where they parse as such, else text."""
+        out = {}
+        for s in settings:
+            name, _, value = s.partition("=")
+            try:
+                out[name.strip()] = json.loads(value)
+            except ValueError:
+                out[name.strip()] = value
+        return self.merged(out)
+
+    def preset(self, name: str) -> "PipelineConfig":
+        return self.merged(PRESETS[name])
+
+    def digest(self) -> str:
+        """The same for equal configurations; keys the result cache."""
+        return sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()[:32]

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from folio_spark.session import skip_empty
+
 SIZE, OVERLAP = 3000, 80
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 
@@ -58,4 +60,4 @@ def chunk(rows: DataFrame, key: str, text: str = "text", size: int = SIZE, overl
                     last = max(last, b)
             yield pd.DataFrame(out, columns=[key, "ord", "start", "end", "text"])
 
-    return rows.selectExpr(f"{key} AS k", f"{text} AS t").where("t IS NOT NULL").mapInPandas(run, f"{key} {kind}, ord int, start int, end int, text string")
+    return rows.selectExpr(f"{key} AS k", f"{text} AS t").where("t IS NOT NULL").mapInPandas(skip_empty(run), f"{key} {kind}, ord int, start int, end int, text string")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folio_spark.functions import pages as P
 from folio_spark.functions.tables import csv_line
 from folio_spark.functions.text import strip
+from folio_spark.session import skip_empty
 
 FIELDS = (
     "chunk_id", "doc_title", "document_id", "page_number", "text", "tables", "extraction_warnings", "embedded_images", "image_base64", "image_text", "image_classifier",
@@ -98,7 +99,7 @@ class PagesFrame:
                 rows = [(p, k, t[max(0, m.start() - around) : m.end() + around]) for p, t in zip(pdf.page_id, pdf.flat) for k, m in enumerate(found.finditer(t))]
                 yield pd.DataFrame(rows, columns=["page_id", "match_no", "snippet"])
 
-        return self.grep_text().where(F.col("flat").rlike(f"(?i){pattern}")).mapInPandas(run, "page_id bigint, match_no int, snippet string")
+        return self.grep_text().where(F.col("flat").rlike(f"(?i){pattern}")).mapInPandas(skip_empty(run), "page_id bigint, match_no int, snippet string")
 
     def without_images(self) -> DataFrame:
         """Pages without image payloads; what describes an image stays."""

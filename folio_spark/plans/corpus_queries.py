@@ -137,3 +137,30 @@ SQL = {
     "document_tags": f"SELECT document_id, array_to_string(list(tag ORDER BY o, tag)[1:30], '; ') AS tags FROM ({_TAG}) GROUP BY document_id",
     "brief_inventory": f"SELECT filename, count(DISTINCT p.document_id) AS documents, count(*) AS pages, count(*) FILTER ({S.HAS_SUMMARY}) AS summarised FROM pages p JOIN doc_outputs d ON d.document_id = p.document_id GROUP BY filename",
 }
+
+
+def _stub(s, r):
+    from folio_spark.operators.enrich import Stub, summaries
+
+    return summaries(_pages(s, r), Stub()).select("page_id", F.array_join("notes", "\n").alias("notes"), F.array_join("topics", "; ").alias("topics"), "relevancy", "validated", "attempts", "tokens")
+
+
+def _passthrough(s, r):
+    from folio_spark.operators.enrich import passthrough
+
+    return passthrough(_pages(s, r)).select("page_id", F.array_join("notes", "\n").alias("notes"), "relevancy", "validated")
+
+
+def _stages(s, r):
+    """Stage metrics of all documents: sums, and the floor of the mean score."""
+    at = _outputs(s, r).select(F.explode(F.array(*[F.struct(F.lit(k).alias("stage"), F.col(f"metrics.stages.{k}").alias("m")) for k in ("extraction", "vision", "summarization")])).alias("x")).where("x.m IS NOT NULL")
+    return at.groupBy("x.stage").agg(F.count("*").alias("documents"), F.sum("x.m.pages_processed").alias("pages"), F.sum("x.m.tokens").alias("tokens"), F.sum("x.m.total_attempts").alias("attempts"), F.floor(F.sum("x.m.avg_relevancy") / F.count("x.m.avg_relevancy")).alias("avg_relevancy"))
+
+
+QUERIES |= {"summarize_passthrough": _passthrough, "summarize_stub_loop": _stub, "stage_metrics": _stages}
+_FIRST_LINE = f"list_filter(list_transform(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)), lambda x: {S.strip('x')}), lambda x: x <> '')[1]"
+_STAGE = "SELECT '{0}' AS stage, metrics.stages.{0} AS m FROM doc_outputs WHERE metrics.stages.{0} IS NOT NULL"
+SQL |= {
+    "summarize_passthrough": f"SELECT page_id, coalesce({_FIRST_LINE}, '') AS notes, 100 AS relevancy, false AS validated FROM pages",
+    "stage_metrics": "SELECT stage, count(*) AS documents, CAST(sum(m.pages_processed) AS BIGINT) AS pages, CAST(sum(m.tokens) AS BIGINT) AS tokens, CAST(sum(m.total_attempts) AS BIGINT) AS attempts, CAST(floor(avg(m.avg_relevancy)) AS BIGINT) AS avg_relevancy FROM (" + " UNION ALL ".join(_STAGE.format(k) for k in ("extraction", "vision", "summarization")) + ") GROUP BY stage",
+}

@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -17,6 +19,15 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def skip_empty(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``run`` for mapInPandas without its empty frames: their text columns have no Arrow type to go by."""
+
+    def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return (frame for frame in run(batches) if len(frame))
+
+    return filled
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it.
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from folio_spark.operators.chunking import OVERLAP, SIZE, cuts
 from folio_spark.sources.opc import OFFICE_ID, Package, PackageError, image_allowed
+from folio_spark.session import skip_empty
 
 KINDS = {"pdf": "pdf", "pptx": "pptx", "docx": "docx", "txt": "text", "md": "text", "markdown": "text"}
 PAGE_SCHEMA = (
@@ -241,7 +242,7 @@ def read_documents(spark: SparkSession, path: str, size: int = SIZE, overlap: in
                 out = out or [(doc, 0, None, title, None, None, [], [], None, 0, error)]
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in PAGE_SCHEMA.split(", ")])
 
-    return rows.mapInPandas(run, PAGE_SCHEMA)
+    return rows.mapInPandas(skip_empty(run), PAGE_SCHEMA)
 
 
 def select_pages(pages: DataFrame, wanted: list[int]) -> DataFrame:
