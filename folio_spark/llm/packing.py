@@ -94,6 +94,10 @@ def pack(items: DataFrame, specs: DataFrame, part_tokens: int = PART_TOKENS, win
     due = due.withColumn("deficit", F.coalesce(F.sum(F.col("share") * F.col("part_sum") - F.col("held")).over(order), F.lit(0.0)))
     sizes = [(r.spec_name, int(r.capacity_tokens)) for r in specs.where("capacity_tokens > 0").groupBy("spec_name").agg(F.max("capacity_tokens").alias("capacity_tokens")).orderBy("spec_name").collect()]
 
+    schema = "spec_name string, container string, item_id bigint, piece_no int, start bigint, n_tokens bigint"
+    if not sizes:
+        return items.sparkSession.createDataFrame([], schema)
+
     def run(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["n_tokens", "item_id"], ascending=[False, True], na_position="last")
         heads = own.drop_duplicates("source")
@@ -109,9 +113,8 @@ def pack(items: DataFrame, specs: DataFrame, part_tokens: int = PART_TOKENS, win
             out["container"] = f"{part}-" + out.container.astype(str)
             out.insert(0, "spec_name", name)
             frames.append(out)
-        return pd.concat(frames) if frames else pd.DataFrame(columns=["spec_name", "container", "item_id", "piece_no", "start", "n_tokens"])
+        return pd.concat(frames)
 
-    schema = "spec_name string, container string, item_id bigint, piece_no int, start bigint, n_tokens bigint"
     return spread.join(due.select("part", "source", "share", "deficit"), ["part", "source"]).groupBy("part").applyInPandas(run, schema)
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio_spark.session import table
+from folio_spark.session import skip_empty, table
 
 _NAME = r"[^\W\d]\w{0,30}(?:[ _.-]\w{1,30}){0,3}"
 _FILL = r"insert\w*|ins[ée]rer|einf[üu]gen|einsetzen|enter|add|your|votre|vos|ihre?n?|su|sus|tu|fill|indiquer|indicar"
@@ -39,8 +39,8 @@ GRAMMARS: dict[str, str] = {
     "square_words": r"\[(?:" + _FILL + r")\b[^\[\]\n]{0,40}\]|\[[^\[\]\n]{1,40}\b(?:" + _OPEN + r")\]|\[[^\[\]\n]{1,40}:\s*[_.]{2,}\]",
     "guillemets": r"«[^\W\dA-ZÀ-Þ][\w]{1,30}(?:[ _]\w{1,20}){0,2}»",
 }
-_SLOT = re.compile("|".join(f"(?P<{k}>{v})" for k, v in GRAMMARS.items()), re.IGNORECASE)
-_CASED = {k: re.compile(GRAMMARS[k]) for k in ("percents", "crosses", "underlines", "guillemets")}
+_CASED = ("percents", "crosses", "underlines", "guillemets")
+_SLOT = re.compile("|".join(f"(?P<{k}>(?-i:{v}))" if k in _CASED else f"(?P<{k}>{v})" for k, v in GRAMMARS.items()), re.IGNORECASE)
 _HINT = re.compile(r"[{@«]|\[\[|<[<%?\w]|%[A-Z]|XX|__|\[\w[^\]\n]*(?:[ :]|_)[^\]\n]*\]")
 _RARE = ("{", "[", "<", "@@", "«", "XX", "__")
 _CODE = re.compile(r"```.*?```|~~~.*?~~~|`[^`\n]*`|(?:(?<=\n\n)|^)(?: {4}|\t)[^\n]*", re.DOTALL)
@@ -64,8 +64,6 @@ def slots(text: str) -> list[tuple[str, str]]:
     found = []
     for m in _SLOT.finditer(bare):
         kind, slot = m.lastgroup, m.group()
-        if kind in _CASED and not _CASED[kind].fullmatch(slot):
-            continue
         if kind == "dollar_brace" or kind == "percents":
             if _ENVIRONMENT.match(slot):
                 continue
@@ -208,7 +206,7 @@ def detect(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             keep = [k is not None for k in kinds]
             yield pd.DataFrame({"doc_id": pdf.doc_id[keep], "kind": [k for k in kinds if k is not None]})
 
-    return documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL").mapInPandas(look, "doc_id bigint, kind string")
+    return documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL").mapInPandas(skip_empty(look), "doc_id bigint, kind string")
 
 
 def exclude(documents: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio_spark.session import materialize, table
+from folio_spark.session import materialize, skip_empty, table
 
 MAX_WORDS, MIN_WORD_COUNT, MAX_TRAINING_PAGES = 200_000, 3, 2000
 HEADER, NUMBER, BODY, BREAK = "header", "number", "body", "break"
@@ -74,7 +74,7 @@ def lexicon(texts: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_W
                 yield flush()
         yield flush()
 
-    totals = texts.select("text").where("text IS NOT NULL").mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    totals = texts.select("text").where("text IS NOT NULL").mapInPandas(skip_empty(count), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     rows = totals.where(F.col("n") >= min_count).orderBy(F.desc("n"), "word").limit(max_words).toPandas()
     return dict(zip(rows.word, (int(n) for n in rows.n)))
 
@@ -255,7 +255,7 @@ def fit_layout(pages: DataFrame, max_pages: int = MAX_TRAINING_PAGES) -> Layout:
 
         import ast
 
-        rows = sample.mapInPandas(run, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect()
+        rows = sample.mapInPandas(skip_empty(run), "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect()
         return Counter({ast.literal_eval(r.key): r.n for r in rows})
 
     base = tally(*_PRIOR)
@@ -362,7 +362,7 @@ def scan_fields(pages: DataFrame, doc_outputs: DataFrame) -> DataFrame:
                         rows.append((page, doc, pos, k, key))
             yield pd.DataFrame(rows, columns=["page_id", "document_id", "pos", "line", "key"])
 
-    at = text.mapInPandas(keys, "page_id bigint, document_id string, pos double, line int, key string")
+    at = text.mapInPandas(skip_empty(keys), "page_id bigint, document_id string, pos double, line int, key string")
     often = at.groupBy("document_id", "key").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).where("a < b").select("document_id", "key")
     repeated = at.join(often, ["document_id", "key"]).groupBy("page_id").agg(F.collect_set("line").alias("repeated"))
     whole = text.join(repeated, "page_id", "left").select("page_id", F.lit("text").alias("field_name"), "text", "repeated")
@@ -390,7 +390,7 @@ def read_scans(pages: DataFrame, doc_outputs: DataFrame) -> DataFrame:
             found = [read_page(t, set(r if r is not None else ()), f == "text", layout, words) for t, r, f in zip(pdf.text, pdf.repeated, pdf.field_name)]
             yield pd.DataFrame({"page_id": pdf.page_id, "field_name": pdf.field_name, "noise": [sorted(n) for n, _ in found], "repaired": [t for _, t in found]})
 
-    return fields.mapInPandas(read, "page_id bigint, field_name string, noise array<string>, repaired string")
+    return fields.mapInPandas(skip_empty(read), "page_id bigint, field_name string, noise array<string>, repaired string")
 
 
 def _read(spark: SparkSession, root: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio_spark.session import table
+from folio_spark.session import skip_empty, table
 
 DEFAULT_SIZE, DEFAULT_OVERLAP = 3000, 80
 
@@ -118,7 +118,7 @@ def split_oversized(pages: DataFrame, per_document: DataFrame) -> DataFrame:
 
     schema = "page_id bigint, piece_no int, start int, n_chars int, text string"
     whole = sized.where("length(text) <= size").selectExpr("page_id", "0 AS piece_no", "0 AS start", "length(text) AS n_chars", "text")
-    return sized.where("length(text) > size").mapInPandas(cut, schema).unionByName(whole)
+    return sized.where("length(text) > size").mapInPandas(skip_empty(cut), schema).unionByName(whole)
 
 
 def pieces(spark: SparkSession, root: str) -> DataFrame:

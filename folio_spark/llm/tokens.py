@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio_spark.session import materialize, table
+from folio_spark.session import materialize, skip_empty, table
 
 #: Where the vocabulary files of public tokenizers lie, on every executor. A parameter of all operators here.
 TOKENIZERS = "/opt/tokenizers"
@@ -72,7 +72,7 @@ def sized(rows: DataFrame, keep: list[str], text: str = "text", path: str = TOKE
             out["n_tokens"] = [count(t) if t else 0 for t in pdf["_text"]]
             yield out
 
-    return rows.select(*keep, F.col(text).alias("_text")).mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens bigint")
+    return rows.select(*keep, F.col(text).alias("_text")).mapInPandas(skip_empty(run), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens bigint")
 
 
 def prefix_states(pieces: Iterable[bytes], vocabulary: dict[bytes, int], encode_pair) -> Iterator[int]:
@@ -163,9 +163,9 @@ def piece_counts(items: DataFrame, path: str = TOKENIZERS, vocabulary: str = VOC
                 done = []
         yield pd.DataFrame(done, columns=["piece", "n", "tokens"])
 
-    seen = items.select("text").where("text IS NOT NULL").mapInPandas(distinct, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+    seen = items.select("text").where("text IS NOT NULL").mapInPandas(skip_empty(distinct), "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
     parts = seen.repartition(F.substring("piece", 1, PREFIX)).sortWithinPartitions("piece")
-    return parts.mapInPandas(walk, "piece string, n bigint, tokens int")
+    return parts.mapInPandas(skip_empty(walk), "piece string, n bigint, tokens int")
 
 
 def token_items(items: DataFrame, keys: list[str], path: str = TOKENIZERS, vocabulary: str = VOCABULARY, max_head: int = MAX_HEAD) -> DataFrame:
@@ -209,7 +209,7 @@ def token_items(items: DataFrame, keys: list[str], path: str = TOKENIZERS, vocab
             yield out
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", _row bigint, tokens bigint, rare array<struct<piece: string, m: bigint>>"
-    found = materialize(rows.select(*keys, "_row", "text").mapInPandas(run, schema), "p4-items")
+    found = materialize(rows.select(*keys, "_row", "text").mapInPandas(skip_empty(run), schema), "p4-items")
     whole = found.where("rare IS NULL").select(*keys, "tokens")
     tail = found.where("rare IS NOT NULL").select(*keys, "_row", "tokens", F.explode("rare").alias("r")).select(*keys, "_row", "tokens", "r.piece", "r.m")
     rest = tail.join(counts.select("piece", F.col("tokens").alias("each")), "piece").groupBy(*keys, "_row").agg((F.first("tokens") + F.sum(F.col("m") * F.col("each"))).alias("tokens"))
