@@ -6,6 +6,7 @@ import base64
 import posixpath
 import re
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -224,7 +225,11 @@ def read_documents(spark: SparkSession, path: str, size: int = SIZE, overlap: in
     """
     known = {**READERS, **(readers or {})}
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
-    rows = files.select("path", "content", kind_of(F.col("path")).alias("kind"), F.sha2("content", 256).alias("sha"))
+    # Scans skip files without a byte; the file index knows them.
+    empty = spark.createDataFrame([(re.sub(r"^(\w+):/+", r"\1:/", unquote(p)),) for p in files.inputFiles()], "path string")
+    empty = empty.join(files.select(F.regexp_replace("path", r"^(\w+):/+", "$1:/").alias("path")), "path", "left_anti").select("path", F.to_binary(F.lit("")).alias("content"))
+    every = files.select("path", "content").unionByName(empty)
+    rows = every.select("path", "content", kind_of(F.col("path")).alias("kind"), F.sha2(F.when(F.length("content") > 0, F.col("content")).otherwise(F.encode("path", "utf-8")), 256).alias("sha"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -30,8 +30,9 @@ def result_pages(results: DataFrame) -> DataFrame:
 
 def read_lines(spark: SparkSession, paths: list[str] | str, schema: str) -> DataFrame:
     """JSON lines; lines that can't be parsed are dropped."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(paths)
-    return rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = spark.read.text(paths).select(F.from_json("value", f"{schema}, _corrupt_record string", options).alias("r"), "value")
+    return parsed.where("r._corrupt_record IS NULL AND trim(value) <> ''").select("r.*").drop("_corrupt_record")
 
 
 def write_lines(rows: DataFrame, path: str, mode: str = "append", nulls: bool = False) -> None:

@@ -1,5 +1,11 @@
+import sys
+
+from pyspark import cloudpickle
+
 from folio_spark.operators import enrich as E
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class Scripted(E.Provider):
     def __init__(self, score, tokens):
