@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from folio_spark.llm.tokens import sized
 from folio_spark.session import materialize, table
 
-PART_TOKENS, WINDOW = 2_000_000, 64
+PART_TOKENS, WINDOW, MAX_TASKS = 2_000_000, 64, 10_000
 
 
 def windows(queues: dict[str, deque], share: dict[str, float], deficit: dict[str, float], budget: float) -> Iterator[list[tuple]]:
@@ -115,7 +115,9 @@ def pack(items: DataFrame, specs: DataFrame, part_tokens: int = PART_TOKENS, win
             frames.append(out)
         return pd.concat(frames)
 
-    return spread.join(due.select("part", "source", "share", "deficit"), ["part", "source"]).groupBy("part").applyInPandas(run, schema)
+    # Parts are small in bytes and long in work: a fixed number of tasks, which adaptive execution doesn't merge.
+    ready = spread.join(due.select("part", "source", "share", "deficit"), ["part", "source"]).repartition(min(parts, MAX_TASKS), "part")
+    return ready.groupBy("part").applyInPandas(run, schema)
 
 
 def _packed(spark: SparkSession, root: str) -> DataFrame:
