@@ -1,10 +1,9 @@
 """Entities (topics) of a corpus, where they occur, and pairs and triples of them.
 
 All pairs of a document's entities grow with the square of its size, and one document may
-hold a third of all pages. So entities of one page, of which there are few, are paired in
-full; within a document each entity is paired with the next ``reach`` in the order of a
-hash, which gives as many pairs as a seeded sample would and never more than
-``reach`` per entity.
+hold a third of all pages. So all pairs of a document are made in cells that are spread over
+tasks, and ``draw`` takes as many as are wanted. ``document_pairs`` is a cheap draw of its own: each
+entity with the next ``reach`` in the order of a hash, never more than ``reach`` per entity.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folio_spark.functions.text import normalize_entity
 
-REACH = 4
+REACH, CELLS = 4, 8
 
 
 def mentions(pages: DataFrame) -> DataFrame:
@@ -63,3 +62,21 @@ def pair_material(pages: DataFrame, most: int = 4) -> DataFrame:
     pairs = at.select("a", F.explode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("b"), "page_id")
     order = Window.partitionBy("a", "b").orderBy("page_id")
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def all_document_pairs(pages: DataFrame, cells: int = CELLS) -> DataFrame:
+    """a, b (a < b): all pairs of entities of one document that are on no page together.
+
+    The pairs of a document are made in ``cells`` times ``cells`` cells by entity hash, so that a large one is spread over tasks.
+    """
+    own = mentions(pages).select("document_id", "entity").distinct().withColumn("cell", F.expr(f"cast(pmod(xxhash64(entity), {cells}) AS int)"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
+    x = own.select("document_id", F.col("entity").alias("a"), F.col("cell").alias("i"), other.alias("j"))
+    y = own.select("document_id", F.col("entity").alias("b"), F.col("cell").alias("j"), other.alias("i"))
+    pairs = x.join(y, ["document_id", "i", "j"]).where("a < b").select("a", "b").distinct()
+    return pairs.join(page_pairs(pages).select("a", "b"), ["a", "b"], "left_anti")
+
+
+def draw(tuples: DataFrame, n: int, seed: str = "draw") -> DataFrame:
+    """``n`` of the rows in the order of a hash of all columns."""
+    return tuples.orderBy(F.sha2(F.concat_ws("|", F.lit(seed), *tuples.columns), 256), *tuples.columns).limit(n)

@@ -66,6 +66,7 @@ QUERIES = {
     "entity_triples_same_page": lambda s, r: graph.page_triples(_pages(s, r)),
     "entity_pairs_same_document": lambda s, r: graph.document_pairs(_pages(s, r)),
     "entity_material": lambda s, r: graph.pair_material(_pages(s, r)),
+    "entity_pairs_document_all": lambda s, r: graph.all_document_pairs(_pages(s, r)),
     "structure_items": lambda s, r: synth.structure_items(_pages(s, r)),
     "work_items_remaining": _work_left,
     "vision_batches": lambda s, r: synth.batches(synth.vision_pages(_pages(s, r)).select("page_id", "document_id"), ["document_id"], ["page_id"], 4),
@@ -102,6 +103,7 @@ _QHASH = "sha256(regexp_replace(lower(" + _FIRST.format("user") + r"), '[^\p{L}\
 _REASONS = "CASE WHEN judge.groundedness IS NULL OR judge.usefulness IS NULL OR judge.clarity IS NULL THEN 'judge_no_score' ELSE concat_ws(',', CASE WHEN judge.groundedness < 3 THEN 'groundedness' END, CASE WHEN judge.usefulness < 3 THEN 'usefulness' END, CASE WHEN judge.clarity < 2 THEN 'clarity' END) END"
 _TAG = f"SELECT document_id, tag, min((pos, page_id, k)) AS o FROM (SELECT document_id, pos, page_id, k, {S.strip('x')} AS tag FROM (SELECT document_id, pos, page_id, unnest(summary_topics) AS x, generate_subscripts(summary_topics, 1) AS k FROM pages)) WHERE tag <> '' GROUP BY document_id, tag"
 _OVERLAP_OF = "(len(list_intersect({0}, {1})) / greatest(1, len({0})))"
+_ALL_PAIRS = f"SELECT DISTINCT x.entity AS a, y.entity AS b FROM m x JOIN m y ON x.document_id = y.document_id AND x.entity < y.entity EXCEPT SELECT a, b FROM ({_PAIRS})"
 SQL = {
     "drop_reasons": f"SELECT {S.REASON} AS reason, count(*) AS pages FROM pages GROUP BY 1",
     "seeds": f"""SELECT p.page_id, p.document_id, d.filename, coalesce(l.input_sha256, sha256(p.document_id)) AS source_sha256, l.config_hash, {S.PAGE_NO} AS page_number, {S.VISUAL_CORPUS} AS visual_text,
@@ -119,6 +121,7 @@ SQL = {
     "entity_pairs_same_document": f"""WITH m AS ({_MENTIONS}), own AS (SELECT DISTINCT document_id, entity FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY sha256('pairs' || entity), entity) AS n FROM own)
  SELECT DISTINCT least(x.entity, y.entity) AS a, greatest(x.entity, y.entity) AS b FROM r x JOIN r y ON x.document_id = y.document_id AND y.n > x.n AND y.n <= x.n + 4 EXCEPT SELECT a, b FROM ({_PAIRS})""",
     "entity_material": f"WITH m AS ({_MENTIONS}) SELECT a, b, page_id, CAST(row_number() OVER (PARTITION BY a, b ORDER BY page_id) AS INTEGER) AS place FROM ({_PAIRS}) QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY page_id) <= 4",
+    "entity_pairs_document_all": f"WITH m AS ({_MENTIONS}) {_ALL_PAIRS}",
     "structure_items": _ITEMS,
     "work_items_remaining": f"SELECT * FROM ({_ITEMS}) WHERE page_id % 3 <> 0",
     "vision_batches": _BATCH.format("page_id", 4, f"pages WHERE {S.words(S.VISUAL_CORPUS)} >= 1"),
