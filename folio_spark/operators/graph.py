@@ -77,6 +77,38 @@ def all_document_pairs(pages: DataFrame, cells: int = CELLS) -> DataFrame:
     return pairs.join(page_pairs(pages).select("a", "b"), ["a", "b"], "left_anti")
 
 
+def document_triples(pages: DataFrame) -> DataFrame:
+    """a, b, c (in order): all triples of entities of one document."""
+    own = mentions(pages).select("document_id", "entity").distinct()
+    two = own.withColumnRenamed("entity", "a").join(own.withColumnRenamed("entity", "b"), "document_id").where("a < b")
+    return two.join(own.withColumnRenamed("entity", "c"), "document_id").where("b < c").select("a", "b", "c").distinct()
+
+
+def cross_pairs(pages: DataFrame) -> DataFrame:
+    """a, b (a < b): all pairs of entities on two or more pages each that have no page and no document in common."""
+    often = postings(pages).where("pages >= 2").select("entity")
+    pairs = often.select(F.col("entity").alias("a")).crossJoin(often.select(F.col("entity").alias("b"))).where("a < b")
+    own = mentions(pages).select("document_id", "entity").distinct()
+    together = own.withColumnRenamed("entity", "a").join(own.withColumnRenamed("entity", "b"), "document_id").where("a < b").select("a", "b").distinct()
+    return pairs.join(together, ["a", "b"], "left_anti").join(page_pairs(pages).select("a", "b"), ["a", "b"], "left_anti")
+
+
 def draw(tuples: DataFrame, n: int, seed: str = "draw") -> DataFrame:
     """``n`` of the rows in the order of a hash of all columns."""
     return tuples.orderBy(F.sha2(F.concat_ws("|", F.lit(seed), *tuples.columns), 256), *tuples.columns).limit(n)
+
+
+def tuple_material(pages: DataFrame, tuples: DataFrame, most: int = 4) -> DataFrame:
+    """a, b, c, page_id, place: the first ``most`` pages for every pair (c is null) or triple of entities.
+
+    Common pages come first, or where there are none pages of common documents; then the other pages of any of the entities; by id.
+    """
+    named = tuples.withColumn("e", F.array_compact(F.array("a", "b", "c")))
+    at = named.select("a", "b", "c", F.size("e").alias("k"), F.explode("e").alias("entity")).join(mentions(pages), "entity")
+    document = Window.partitionBy("a", "b", "c", "document_id")
+    at = at.withColumn("entities", F.size(F.collect_set("entity").over(document)))
+    on = at.groupBy("a", "b", "c", "k", "page_id", "document_id", "entities").agg(F.count("*").alias("n"))
+    on = on.withColumn("most", F.max("n").over(Window.partitionBy("a", "b", "c")))
+    on = on.withColumn("later", F.expr("CASE WHEN most = k THEN n < k ELSE entities < k END"))
+    order = Window.partitionBy("a", "b", "c").orderBy("later", "page_id")
+    return on.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("a", "b", "c", "page_id", "place")

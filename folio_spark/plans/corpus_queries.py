@@ -53,6 +53,12 @@ def _wanted(s, r):
     return _runs(s, r).where("input_sha256 IS NOT NULL").select("input_sha256", F.col("config_hash")).distinct()
 
 
+def _tuples(pages):
+    """a, b, c: 200 drawn pairs of one document and 200 drawn triples."""
+    pairs = graph.draw(graph.all_document_pairs(pages), 200).withColumn("c", F.lit(None).cast("string"))
+    return pairs.unionByName(graph.draw(graph.document_triples(pages), 200))
+
+
 QUERIES = {
     "drop_reasons": lambda s, r: _pages(s, r).groupBy(P.drop_reason(50).alias("reason")).agg(F.count("*").alias("pages")),
     "seeds": _seeds,
@@ -67,6 +73,9 @@ QUERIES = {
     "entity_pairs_same_document": lambda s, r: graph.document_pairs(_pages(s, r)),
     "entity_material": lambda s, r: graph.pair_material(_pages(s, r)),
     "entity_pairs_document_all": lambda s, r: graph.all_document_pairs(_pages(s, r)),
+    "entity_triples_document": lambda s, r: graph.document_triples(_pages(s, r)),
+    "entity_pairs_cross": lambda s, r: graph.cross_pairs(_pages(s, r)),
+    "entity_tuple_material": lambda s, r: graph.tuple_material(_pages(s, r), _tuples(_pages(s, r))),
     "structure_items": lambda s, r: synth.structure_items(_pages(s, r)),
     "work_items_remaining": _work_left,
     "vision_batches": lambda s, r: synth.batches(synth.vision_pages(_pages(s, r)).select("page_id", "document_id"), ["document_id"], ["page_id"], 4),
@@ -104,6 +113,8 @@ _REASONS = "CASE WHEN judge.groundedness IS NULL OR judge.usefulness IS NULL OR
 _TAG = f"SELECT document_id, tag, min((pos, page_id, k)) AS o FROM (SELECT document_id, pos, page_id, k, {S.strip('x')} AS tag FROM (SELECT document_id, pos, page_id, unnest(summary_topics) AS x, generate_subscripts(summary_topics, 1) AS k FROM pages)) WHERE tag <> '' GROUP BY document_id, tag"
 _OVERLAP_OF = "(len(list_intersect({0}, {1})) / greatest(1, len({0})))"
 _ALL_PAIRS = f"SELECT DISTINCT x.entity AS a, y.entity AS b FROM m x JOIN m y ON x.document_id = y.document_id AND x.entity < y.entity EXCEPT SELECT a, b FROM ({_PAIRS})"
+_ALL_TRIPLES = "SELECT DISTINCT x.entity AS a, y.entity AS b, z.entity AS c FROM o x JOIN o y ON x.document_id = y.document_id AND x.entity < y.entity JOIN o z ON z.document_id = x.document_id AND y.entity < z.entity"
+_OWN = f"m AS ({_MENTIONS}), o AS (SELECT DISTINCT document_id, entity FROM m)"
 SQL = {
     "drop_reasons": f"SELECT {S.REASON} AS reason, count(*) AS pages FROM pages GROUP BY 1",
     "seeds": f"""SELECT p.page_id, p.document_id, d.filename, coalesce(l.input_sha256, sha256(p.document_id)) AS source_sha256, l.config_hash, {S.PAGE_NO} AS page_number, {S.VISUAL_CORPUS} AS visual_text,
@@ -122,6 +133,13 @@ SQL = {
  SELECT DISTINCT least(x.entity, y.entity) AS a, greatest(x.entity, y.entity) AS b FROM r x JOIN r y ON x.document_id = y.document_id AND y.n > x.n AND y.n <= x.n + 4 EXCEPT SELECT a, b FROM ({_PAIRS})""",
     "entity_material": f"WITH m AS ({_MENTIONS}) SELECT a, b, page_id, CAST(row_number() OVER (PARTITION BY a, b ORDER BY page_id) AS INTEGER) AS place FROM ({_PAIRS}) QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY page_id) <= 4",
     "entity_pairs_document_all": f"WITH m AS ({_MENTIONS}) {_ALL_PAIRS}",
+    "entity_triples_document": f"WITH {_OWN} {_ALL_TRIPLES}",
+    "entity_pairs_cross": f"""WITH {_OWN}, e AS (SELECT entity FROM m GROUP BY entity HAVING count(*) >= 2) SELECT x.entity AS a, y.entity AS b FROM e x JOIN e y ON x.entity < y.entity
+ WHERE NOT EXISTS (SELECT 1 FROM o p JOIN o q ON p.document_id = q.document_id WHERE p.entity = x.entity AND q.entity = y.entity) EXCEPT SELECT a, b FROM ({_PAIRS})""",
+    "entity_tuple_material": f"""WITH {_OWN}, t AS (SELECT * FROM (SELECT a, b, NULL::VARCHAR AS c FROM ({_ALL_PAIRS}) ORDER BY sha256(concat_ws('|', 'draw', a, b)), a, b LIMIT 200) UNION ALL SELECT * FROM (SELECT * FROM ({_ALL_TRIPLES}) ORDER BY sha256(concat_ws('|', 'draw', a, b, c)), a, b, c LIMIT 200)),
+ h AS (SELECT t.*, CASE WHEN t.c IS NULL THEN 2 ELSE 3 END AS k, m.* FROM t JOIN m ON m.entity IN (t.a, t.b, t.c)), d AS (SELECT a, b, c, document_id, count(DISTINCT entity) AS shared FROM h GROUP BY ALL),
+ p AS (SELECT a, b, c, k, page_id, document_id, count(DISTINCT entity) AS n FROM h GROUP BY ALL), q AS (SELECT p.*, max(n) OVER (PARTITION BY p.a, p.b, p.c) AS top, shared FROM p JOIN d ON p.a = d.a AND p.b = d.b AND p.c IS NOT DISTINCT FROM d.c AND p.document_id IS NOT DISTINCT FROM d.document_id)
+ SELECT a, b, c, page_id, CAST(row_number() OVER (PARTITION BY a, b, c ORDER BY CASE WHEN top = k THEN n < k ELSE shared < k END, page_id) AS INTEGER) AS place FROM q QUALIFY row_number() OVER (PARTITION BY a, b, c ORDER BY CASE WHEN top = k THEN n < k ELSE shared < k END, page_id) <= 4""",
     "structure_items": _ITEMS,
     "work_items_remaining": f"SELECT * FROM ({_ITEMS}) WHERE page_id % 3 <> 0",
     "vision_batches": _BATCH.format("page_id", 4, f"pages WHERE {S.words(S.VISUAL_CORPUS)} >= 1"),
