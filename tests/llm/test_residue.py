@@ -24,6 +24,11 @@ def test_kinds():
     assert R.residue("Lorem ipsum " + "velant corpus nemora sagis umbra turpi rebus " * 4) == "filler"
 
 
+@pytest.mark.parametrize("text, kind", [("401 Unauthorized", "error"), ("400 Bad Request", "error"), ("Etwas ist schief gegangen", "error"), ("Zur Startseite", "error"), ("Beispieltitel", "filler"), ("Die Anwendung dieses Anbieters benötigt für alle Bereiche der neuen Oberfläche und auch für sämtliche weiteren Ansichten der alten Oberfläche sowie für Ausdrucke und Berichte und Auswertungen der Abteilung eine aktive Ausführung von JavaScript.", "notice")])
+def test_lines_are_read_whatever_words_they_hold(text, kind):
+    assert R.residue(text) == kind
+
+
 def test_reports_of_errors_are_content():
     text = "Every 404 answer is now logged with its referrer. Users reported the message “Access denied” 53 times. The viewer no longer requires JavaScript. " + "The committee approved the budget. " * 5
     assert R.residue(text) is None
