@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TERMINAL = ("completed", "failed", "canceled")
@@ -17,6 +17,12 @@ def queue_order(jobs: DataFrame) -> DataFrame:
     return jobs.where("status = 'queued'").orderBy(F.coalesce("queued_at", "created_at"), "created_at", "job_id")
 
 
+def queue_places(jobs: DataFrame) -> DataFrame:
+    """Every waiting job with its place (from 1) in the order of ``queue_order``."""
+    order = Window.orderBy(F.coalesce("queued_at", "created_at"), "created_at", "job_id")
+    return jobs.where("status = 'queued'").withColumn("place", F.row_number().over(order))
+
+
 def statuses(jobs: DataFrame, latest: int = 5) -> DataFrame:
     """All live jobs and the latest finished ones."""
     done = jobs.where(F.col("status").isin(*TERMINAL)).orderBy(F.desc("completed_at"), "job_id").limit(latest)
