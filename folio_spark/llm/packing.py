@@ -21,14 +21,19 @@ def windows(queues: dict[str, deque], share: dict[str, float], deficit: dict[str
 
     In every window each source is credited its share of the budget and gives items while its
     deficit covers the next one; what is left over, or overdrawn, is carried to the next
-    window. A source that has run out leaves its credit to those that have not.
+    window. A source that has run out leaves its credit to those that have not. A deficit to begin
+    with that is larger than the budget is spread over windows, a budget in each, until all is given.
     """
+    owed = dict(deficit)
+    deficit = dict.fromkeys(deficit, 0.0)
     while any(queues.values()):
         live = [s for s in queues if queues[s]]
         total = sum(share[s] for s in live) or 1.0
         window: list[tuple] = []
         for s in live:
-            deficit[s] += budget * (share[s] / total if sum(share[x] for x in live) else 1 / len(live))
+            step = max(-budget, min(budget, owed[s]))
+            owed[s] -= step
+            deficit[s] += step + budget * (share[s] / total if sum(share[x] for x in live) else 1 / len(live))
             while queues[s] and deficit[s] >= queues[s][0][0]:
                 item = queues[s].popleft()
                 deficit[s] -= item[0]
@@ -107,9 +112,7 @@ def pack(items: DataFrame, specs: DataFrame, part_tokens: int = PART_TOKENS, win
         rows = list(zip(own.item_id, own.source, own.n_tokens))
         frames = []
         for name, capacity in sizes:
-            most = window * capacity
-            carried = {s: max(-most, min(most, d)) for s, d in deficit.items()}
-            out = pd.DataFrame(list(pack_part(rows, share, carried, capacity, window)), columns=["container", "item_id", "piece_no", "start", "n_tokens"])
+            out = pd.DataFrame(list(pack_part(rows, share, deficit, capacity, window)), columns=["container", "item_id", "piece_no", "start", "n_tokens"])
             out["container"] = f"{part}-" + out.container.astype(str)
             out.insert(0, "spec_name", name)
             frames.append(out)

@@ -1,4 +1,5 @@
 import random
+from collections import Counter, deque
 
 from folio_spark.llm import packing as K
 
@@ -37,3 +38,15 @@ def test_empty(spark):
     none = spark.createDataFrame([], "item_id bigint, source string, n_tokens bigint")
     assert K.pack(none, spark.createDataFrame([("s", 10)], "spec_name string, capacity_tokens int")).count() == 0
     assert K.pack(spark.createDataFrame([(1, "a", 5)], "item_id bigint, source string, n_tokens bigint"), spark.createDataFrame([], "spec_name string, capacity_tokens int")).count() == 0
+
+
+def test_a_deficit_of_many_windows_is_given_in_full():
+    """Source a is due ten budgets from before: it gives ahead of b until these are made up."""
+    queues = {s: deque((1, s) for _ in range(2000)) for s in "ab"}
+    given = Counter()
+    for k, batch in enumerate(K.windows(queues, {"a": 0.5, "b": 0.5}, {"a": 1000.0, "b": -1000.0}, 100.0)):
+        given.update(x[1] for x in batch)
+        assert max(Counter(x[1] for x in batch).values()) <= 150 or k > 9
+        if k == 9:
+            assert given["a"] == 1500 and given["b"] == 0
+            break
