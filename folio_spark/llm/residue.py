@@ -1,7 +1,8 @@
 """Template residue and error-page text: unfilled slots, filler, error pages, script notices.
 
 Slots are found by one grammar per delimiter and discounted where the text around them
-says that it only writes about slots: inside code, and in sentences that explain them.
+says that it only writes about slots: inside code, and in sentences that explain them. They
+count by density: one in so many words, so that a long report with a slot left over is content.
 Filler, error pages and notices count by density: their lines must make up most of what
 the document holds, so that a report that quotes an error message is left alone.
 """
@@ -9,8 +10,11 @@ the document holds, so that a report that quotes an error message is left alone.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from operator import eq
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +34,7 @@ GRAMMARS: dict[str, str] = {
     "dollar_brace": r"\$\{\s*" + _NAME + r"\s*\}",
     "hash_brace": r"#\{\s*" + _NAME + r"\s*\}",
     "position": r"\{\d{1,2}\}(?:\s\([^()\n]{1,40}\))?",
-    "brace": r"(?<![\w$#{%])\{\s*" + _NAME + r"\s*\}(?!\})",
+    "brace": r"(?<![\w$#{%])\{\s*(?=[^\W\d]\w)" + _NAME + r"\s*\}(?!\})",
     "at_signs": r"@@\w{2,40}@@",
     "percents": r"(?<![\w%])%[A-Z][A-Z0-9_]{2,40}%",
     "crosses": r"\bXX[A-Z][A-Z0-9_]{1,40}XX\b",
@@ -96,7 +100,7 @@ _LINES: dict[str, re.Pattern[str]] = {
         re.IGNORECASE,
     ),
     "error": re.compile(
-        r"\b(?:[45]\d\d)\b\s*[-–:]?\s*(?:forbidden|not found|bad gateway|bad request|unauthori[sz]ed|service|gateway|internal|error|seite|page|página|zugriff|accès|acceso|interner|erreur|too many)"
+        r"(?<![\d.,])(?<!\d[ \u00a0\u202f])\b(?:[45]\d\d)\b\s*[-–:]?\s*(?:forbidden|not found|bad gateway|bad request|unauthori[sz]ed|service|gateway|internal|error|seite|page|página|zugriff|accès|acceso|interner|erreur|too many)"
         r"|(?:error|fehler|erreur|status|http)\s*[:#]?\s*[45]\d\d\b|internal server error|interner serverfehler|erreur interne|error interno"
         r"|access denied|zugriff verweigert|accès refusé|acceso denegado|something went wrong|etwas ist schief|une erreur est survenue|algo (?:salió|ha salido) mal|se ha producido un error|ein fehler ist aufgetreten"
         r"|page not found|seite (?:wurde )?nicht gefunden|page introuvable|página no encontrada|document could not be loaded|dokument konnte nicht geladen|document n'a pas pu être chargé|no se pudo cargar"
@@ -124,44 +128,110 @@ _LINES: dict[str, re.Pattern[str]] = {
 _ECHO = re.compile(r"\b([^\W\d_]{2,})(?:\W+\1\b){4,}", re.IGNORECASE)
 _QUOTED = re.compile(r"[“\"„«‹][^“”\"„«»‹›\n]{3,120}[”\"“»›]")
 _LEAD = re.compile(r"^(?:\W*(?:help|home|documents?|menu · search · login|back to top|loading…|\[logo\] skip to content|hilfe|aide|ayuda)\W+)+", re.IGNORECASE)
-MIN_SHARE = 0.5
+#: A first line with no end of a sentence, and more lines after it: a heading, that is no content of its own.
+_TITLE = re.compile(r"\s*(?:[^\n]*[^\s.!?…:;,”\"»)\]][ \t]*(?=\n\s*\S))?")
+MIN_SHARE, WORDS_PER_SLOT = 0.5, 300
 
 
 def residue(text: str | None, min_share: float = MIN_SHARE) -> str | None:
     """The kind of residue in place of content: slot, filler, error, notice; None if there is none.
 
-    Null, empty and blank texts have none.
+    Null, empty and blank texts have none. One slot makes a text of up to WORDS_PER_SLOT words
+    residue, a longer one needs more; lines of the other kinds must be ``min_share`` of the characters.
     """
     if not text or not text.strip():
         return None
-    if slots(text):
-        return "slot"
     words = _WORD.findall(text.lower())
+    if len(slots(text)) * WORDS_PER_SLOT >= max(1, len(words)):
+        return "slot"
     if not words:
         return None
     if len(words) >= 12 and sum(w in _FUNCTION for w in words) < 0.13 * len(words):
         kind = _by_words(text, min_share)
         if kind:
             return kind
-    return _by_lines(text, min_share)
+    return _by_lines(text, words, min_share)
 
 
-def _by_lines(text: str, min_share: float) -> str | None:
-    chars: dict[str, int] = {}
-    total = 0
-    for line in text.split("\n"):
-        for part in _SENTENCE.split(line):
-            part = part.strip()
-            if not part or part.startswith("#"):
-                continue
-            bare = _LEAD.sub("", part) or part
-            if _LINES["chrome"].match(bare):
+def necessary(pattern: re.Pattern[str]) -> set[str]:
+    """Literals in lower case of which every match of ``pattern`` holds at least one, read from the pattern itself."""
+
+    def best(sequence) -> set[str] | None:
+        found, literal = [], ""
+        for op, value in [*sequence, (None, None)]:
+            if str(op) == "LITERAL":
+                literal += chr(value).lower()
                 continue
-            unquoted = _QUOTED.sub(" ", bare)
-            kind = next((k for k in ("filler", "notice", "error") if _LINES[k].search(unquoted)), "echo" if _ECHO.search(unquoted) else "")
-            total += len(bare)
-            if kind:
-                chars[kind] = chars.get(kind, 0) + len(bare)
+            if literal:
+                found.append({literal})
+                literal = ""
+            if str(op) == "SUBPATTERN":
+                found.append(best(value[3]))
+            elif str(op) == "BRANCH":
+                each = [best(b) for b in value[1]]
+                found.append(set().union(*each) if all(each) else None)
+            elif str(op) in ("MAX_REPEAT", "MIN_REPEAT") and value[0] > 0:
+                found.append(best(value[2]))
+        return max((f for f in found if f), key=lambda f: min(map(len, f)), default=None)
+
+    found = best(re._parser.parse(pattern.pattern, pattern.flags))
+    if not found:
+        raise ValueError("a match need not hold any literal")
+    return found
+
+
+_built: list[ahocorasick.Automaton] = []
+
+
+def _literals() -> ahocorasick.Automaton:
+    """The automaton of the literals of all residue lines, built once in each process."""
+    if not _built:
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for kind in ("filler", "notice", "error"):
+            for literal in necessary(_LINES[kind]):
+                automaton.add_word(literal)
+        automaton.make_automaton()
+        _built.append(automaton)
+    return _built[0]
+
+
+def _by_lines(text: str, words: list[str], min_share: float) -> str | None:
+    """The kind of the residue lines that make up most of a text. Lines without any literal that each residue line
+    has can't be one, and are told by one pass over the text."""
+    lower = text.lower().replace("ſ", "s")
+    hits = [end for end, _ in _literals().iter(lower)]
+    echoes = any(map(eq, words, words[1:]))
+    if not hits and not echoes:
+        return None
+    every = len(lower) != len(text)
+    breaks = [m.span() for m in _SENTENCE.finditer(text)]
+    starts, ends = [0, *(b for _, b in breaks)], [*(a for a, _ in breaks), len(text)]
+    hit = {bisect_right(starts, h) - 1 for h in hits}
+    parts, total, most = [], 0, 0
+    title = _TITLE.match(text).end()
+    for k, (a, b) in enumerate(zip(starts, ends)):
+        part = text[a:b].strip()
+        if not part or part.startswith("#"):
+            continue
+        bare = _LEAD.sub("", part) or part
+        if _LINES["chrome"].match(bare):
+            continue
+        total += len(bare)
+        near = every or k in hit
+        if b <= title and not (near and any(_LINES[kind].search(bare) for kind in ("filler", "notice", "error"))):
+            total -= len(bare)
+            continue
+        if near or echoes:
+            parts.append((bare, near))
+            most += len(bare)
+    if most < min_share * total:
+        return None
+    chars: dict[str, int] = {}
+    for bare, near in parts:
+        unquoted = _QUOTED.sub(" ", bare)
+        kind = next((k for k in ("filler", "notice", "error") if near and _LINES[k].search(unquoted)), "echo" if echoes and _ECHO.search(unquoted) else "")
+        if kind:
+            chars[kind] = chars.get(kind, 0) + len(bare)
     if not chars or sum(chars.values()) < min_share * total:
         return None
     top = max(chars, key=lambda k: (chars[k], k))
