@@ -41,7 +41,8 @@ def page_identity() -> Column:
 
 
 def has_summary() -> Column:
-    return some("summary_notes") | some("summary_topics") | F.col("summary_relevancy").isNotNull()
+    """Notes or topics; a score alone is no summary."""
+    return some("summary_notes") | some("summary_topics")
 
 
 def unvalidated_summary() -> Column:
@@ -50,12 +51,11 @@ def unvalidated_summary() -> Column:
 
 
 def first_description() -> Column:
-    """The first note, else the text in one line (cut to 117 and ``...`` beyond 120), else 120 of the visual text."""
-    note = F.get(F.filter(F.coalesce("summary_notes", F.array().cast("array<string>")), lambda x: strip(x) != ""), F.lit(0))
+    """The first note if there are notes, else the text in one line (cut to 117 and ``...`` beyond 120), else 120 of the visual text."""
+    note = F.when(some("summary_notes"), F.coalesce(F.get("summary_notes", F.lit(0)), F.lit("None")))
     flat = strip(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " "))
     cut = F.when(F.length(flat) > 120, F.concat(F.left(flat, F.lit(117)), F.lit("..."))).otherwise(flat)
-    flat_visual = strip(F.regexp_replace(visual_text_query(), r"(?U)\s+", " "))
-    return F.coalesce(strip(note), F.nullif(cut, F.lit("")), F.left(flat_visual, F.lit(120)))
+    return F.coalesce(strip(note), F.nullif(cut, F.lit("")), strip(F.left(visual_text_query(), F.lit(120))))
 
 
 def drop_reason(min_relevancy: int, keep_warnings: bool = False) -> Column:

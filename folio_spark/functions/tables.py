@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folio_spark.functions.text import strip
+
 
 def width(table: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(table, lambda r: F.size(r))), F.lit(0))
@@ -19,29 +21,32 @@ def _padded(row: Column, n: Column) -> Column:
 
 
 def _rule(n: Column) -> Column:
-    return _row(F.array_repeat(F.lit("---"), n))
+    return F.concat(F.lit("|"), F.repeat(F.lit("---|"), n))
+
+
+def _ruled(rows: Column, rule: Column) -> Column:
+    """Row lines with the rule after the first."""
+    return F.array_join(F.flatten(F.transform(rows, lambda r, i: F.when(i == 0, F.array(r, rule)).otherwise(F.array(r)))), "\n")
 
 
 def report_markdown(table: Column) -> Column:
-    """Rows padded to the widest; the first is the header."""
+    """Rows padded to the widest; the first is the header. A table without cells is empty."""
     n = width(table)
-    rows = F.transform(table, lambda r: _row(_padded(r, n)))
-    return F.array_join(F.concat(F.slice(rows, 1, 1), F.array(_rule(n)), F.slice(rows, 2, 1_000_000)), "\n")
+    return F.when(n == 0, F.lit("")).otherwise(_ruled(F.transform(table, lambda r: _row(_padded(r, n))), _rule(n)))
 
 
 def corpus_markdown(tables: Column) -> Column:
     """Rows as they are, the rule as wide as the header, a blank line between tables."""
     def one(t: Column) -> Column:
-        rows = F.transform(t, _row)
-        return F.array_join(F.concat(F.slice(rows, 1, 1), F.array(_rule(F.coalesce(F.size(F.get(t, F.lit(0))), F.lit(0)))), F.slice(rows, 2, 1_000_000)), "\n")
+        return _ruled(F.transform(t, _row), _rule(F.coalesce(F.size(F.get(t, F.lit(0))), F.lit(0))))
 
     return F.array_join(F.transform(F.filter(tables, lambda t: F.size(t) > 0), one), "\n\n")
 
 
 def escape_cell(cell: Column) -> Column:
-    """A cell with backslashes, bars and line ends made harmless."""
+    """A cell with backslashes, bars and line ends made harmless, trimmed."""
     out = F.replace(F.replace(cell, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
-    return F.replace(F.replace(out, F.lit("\r\n"), F.lit(" ")), F.lit("\n"), F.lit(" "))
+    return strip(F.replace(out, F.lit("\n"), F.lit(" ")))
 
 
 def bundle_markdown(table: Column) -> Column:

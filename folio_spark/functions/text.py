@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,8 +88,8 @@ def clean_topics(c: ColumnOrName) -> Column:
 
 
 def clean_answer(c: ColumnOrName) -> Column:
-    """A model's answer without channel marks and surrounding white space."""
-    return strip(F.regexp_replace(col(c), r"(?s)^.*<\|channel\|>\w+<\|message\|>", ""))
+    """A model's answer without leading marks of its thinking channel and surrounding white space."""
+    return strip(F.regexp_replace(strip(c), r"^(?:<\|channel\|>thought<channel\|>)+", ""))
 
 
 def score_value(c: ColumnOrName) -> Column:
@@ -102,27 +106,76 @@ def slugify(c: ColumnOrName) -> Column:
 
 
 def yaml_scalar(c: ColumnOrName) -> Column:
-    """A string as a double-quoted YAML scalar."""
-    text = F.replace(F.replace(F.replace(col(c), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    """A string as a double-quoted YAML scalar; line ends become blanks, and the ends are trimmed."""
+    flat = strip(F.replace(F.replace(col(c), F.lit("\r\n"), F.lit("\n")), F.lit("\n"), F.lit(" ")))
+    text = F.replace(F.replace(flat, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     return F.concat(F.lit('"'), text, F.lit('"'))
 
 
-#: Shapes of secrets that are taken out of log messages, in this order.
+#: Shapes of secrets that are taken out of log text, in this order, and what stands for them.
 SECRETS = (
-    (r"(?i)\b(sk-[a-z0-9_-]{8,}|gh[pousr]_[a-z0-9]{16,}|bearer\s+[a-z0-9._~+/-]{8,}=*)", "[redacted]"),
-    (r"(?i)\b(api[_-]?key|token|secret|password|authorization)(\s*[:=]\s*)[^\s,;\"']+", "$1$2[redacted]"),
-    (r"(?i)(\"(?:api[_-]?key|token|secret|password|authorization)\"\s*:\s*)\"[^\"]*\"", "$1\"[redacted]\""),
-)
+    (r"(sk-[A-Za-z0-9_\-]{12,})", "[REDACTED]"),
+    (r"(xox[baprs]-[A-Za-z0-9\-]{12,})", "[REDACTED]"),
+    (r"(gh[pousr]_[A-Za-z0-9_]{12,})", "[REDACTED]"),
+    (r"(api[_-]?key|authorization|bearer|token|secret|password)(\s*[:=]\s*)([^\s,;]+)", "$1$2[REDACTED]"),
+)
+#: Members whose name is one of these, or has a part that is, are taken out whole.
+SECRET_NAMES = ("authorization", "password", "secret", "api_key", "apikey")
+SECRET_PARTS = ("authorization", "password", "secret", "apikey", "api_key", "key", "token")
 
 
 def redact(c: ColumnOrName) -> Column:
-    """Log text without tokens, key=value secrets and sensitive JSON members."""
+    """Log text without tokens and key=value secrets."""
     out = col(c)
     for pattern, to in SECRETS:
-        out = F.regexp_replace(out, pattern, to)
+        out = F.regexp_replace(out, "(?iU)" + pattern, to)
     return out
 
 
+def redact_text(text: str) -> str:
+    """``redact`` for one string."""
+    for pattern, to in SECRETS:
+        text = re.sub("(?i)" + pattern, to.replace("$1", r"\1").replace("$2", r"\2"), text)
+    return text
+
+
+def secret_name(name: str) -> bool:
+    name = "".join(c.lower() if c.isascii() else c for c in name)
+    return name in SECRET_NAMES or any(p in SECRET_PARTS for p in re.split("[^a-z0-9]+", name))
+
+
+def redact_json(text: str | None) -> str | None:
+    """A JSON value with the strings in it redacted, and whole members of secret names, at any depth; other text as text."""
+
+    def walk(x):
+        if isinstance(x, str):
+            return redact_text(x)
+        if isinstance(x, list):
+            return [walk(v) for v in x]
+        if isinstance(x, dict):
+            return {k: "[REDACTED]" if secret_name(k) else walk(v) for k, v in x.items()}
+        return x
+
+    if text is None:
+        return None
+    try:
+        value = json.loads(text)
+    except ValueError:
+        return redact_text(text)
+    clean = walk(value)
+    return text if clean == value else json.dumps(clean, ensure_ascii=False, separators=(",", ":"))
+
+
+def redact_fields(c: ColumnOrName) -> Column:
+    """``redact_json`` of a column, in Arrow batches: JSON of any shape and depth has no built-in transformation."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(redact_json, na_action="ignore")
+
+    return run(col(c))
+
+
 def log_base_name(c: ColumnOrName) -> Column:
     """A job id made safe as a file name: runs of other characters become one hyphen; at most 120."""
     safe = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"[^A-Za-z0-9._]+", "-")

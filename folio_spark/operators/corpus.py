@@ -9,7 +9,7 @@ from folio_spark.functions import pages as P
 from folio_spark.functions.tables import corpus_markdown
 from folio_spark.functions.text import strip
 
-MIN_RELEVANCY, TOKENS_PER_PAGE = 50, 500
+MIN_RELEVANCY, TOKENS_PER_PAGE = 70, 500
 
 
 def newest(rows: DataFrame, by: list[str], order: list) -> DataFrame:

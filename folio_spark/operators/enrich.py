@@ -32,7 +32,7 @@ class Provider(ABC):
 
     @abstractmethod
     def ask(self, kind: str, prompt: str, tier: int = 1) -> Answer:
-        """kind: notes, score, topics, synthesis, classify or extract."""
+        """kind: notes, score, topics, synthesis, insight, classify or extract."""
 
 
 class Stub(Provider):
@@ -83,6 +83,13 @@ class Policy:
     def tier(self, attempt: int) -> int:
         return 1 if attempt <= 10 else 2 if attempt <= 20 else 3
 
+    def band(self, attempt: int) -> tuple[int, int]:
+        """Attempts of one band ask the same model for the same quality."""
+        return self.threshold(attempt), self.tier(attempt)
+
+    def next_band(self, attempt: int) -> int | None:
+        return next((k for k in range(attempt + 1, self.attempts + 1) if self.band(k) != self.band(attempt)), None)
+
 
 @dataclass(frozen=True)
 class Summary:
@@ -93,6 +100,7 @@ class Summary:
     attempts: int = 0
     tokens: int = 0
     exhausted: str | None = None
+    passes: tuple[tuple[str, ...], ...] = ()
 
 
 def note_lines(text: str) -> tuple[str, ...]:
@@ -110,46 +118,103 @@ def percent(text: str) -> int | None:
     return int(digits[0]) if digits and int(digits[0]) <= 100 else None
 
 
+def topics_of(provider: Provider, notes: str) -> tuple[tuple[str, ...], int]:
+    """Up to five topics of some notes, and the tokens spent: up to three tries, each with a larger model. Blank notes have none."""
+    spent = 0
+    if notes.strip():
+        for tier in (1, 2, 3):
+            said = provider.ask("topics", f"Topics\n\n{notes}", tier)
+            spent += said.tokens
+            if found := note_lines(said.text.replace(",", "\n"))[:5]:
+                return found, spent
+    return (), spent
+
+
 def summarize(provider: Provider, context: str, policy: Policy = Policy(), clock=time.monotonic) -> Summary:
-    """Notes until a score reaches the attempt's threshold; the best are kept.
+    """Notes until a score reaches the attempt's threshold; those of the best score are kept, or the first ones.
 
-    Tokens and time are checked after every call; what is over stops the page with the reason.
-    A blank context is not shown to the model.
+    Tokens and time are checked after notes and after the score; what is over stops the page with
+    the reason, without topics. An answer without notes costs an attempt and isn't scored; a score
+    that can't be read is zero. The same score twice in one band goes on with the next band, or ends the
+    attempts. Scores are asked of the largest model, topics of the notes kept. A blank context is shown to no
+    model: no notes, score zero, not validated either way.
     """
     if not context.strip():
-        return Summary(relevancy=0, validated=False)
-    began, best = clock(), Summary()
-    tokens = 0
-    for attempt in range(1, policy.attempts + 1):
+        return Summary(relevancy=0)
+    began, best, score, last, attempt, tokens, used = clock(), (), 0, None, 1, 0, 0
+    accepted = False
+
+    def over() -> str | None:
+        return "tokens" if tokens > policy.max_tokens else "seconds" if clock() - began > policy.max_seconds else None
+
+    while attempt <= policy.attempts and not accepted:
+        used = attempt
         said = provider.ask("notes", f"Attempt {attempt}\n\n{context}", policy.tier(attempt))
         tokens += said.tokens
         notes = note_lines(said.text)
-        if best.relevancy is None:
-            best = replace(best, notes=notes)
-        over = "tokens" if tokens > policy.max_tokens else "seconds" if clock() - began > policy.max_seconds else None
-        score = None
-        if over is None:
-            rated = provider.ask("score", f"{chr(10).join(notes)}\n\n{context}", policy.tier(attempt))
-            tokens += rated.tokens
-            score = percent(rated.text)
-            over = "tokens" if tokens > policy.max_tokens else "seconds" if clock() - began > policy.max_seconds else None
-        if score is not None and (best.relevancy is None or score > best.relevancy):
-            best = replace(best, notes=notes, relevancy=score)
-        good = score is not None and score >= policy.threshold(attempt)
-        best = replace(best, attempts=attempt, tokens=tokens, exhausted=over, validated=good)
-        if good or over:
-            break
-    if best.exhausted is None:
-        named = provider.ask("topics", f"Topics\n\n{context}", 1)
-        best = replace(best, topics=note_lines(named.text.replace(",", "\n"))[:5], tokens=best.tokens + named.tokens)
-    return best
-
-
-SUMMARY = "page_id bigint, notes array<string>, topics array<string>, relevancy int, validated boolean, attempts int, tokens bigint, exhausted string, error string"
-
-
-def summaries(pages: DataFrame, provider: Provider, policy: Policy = Policy(), done: DataFrame | None = None) -> DataFrame:
-    """A summary per page (page_id given once); an error stays with its page and stops no other. Pages in ``done`` are skipped."""
+        best = best or notes
+        if reason := over():
+            return Summary(best, (), score, False, used, tokens, reason)
+        if not notes:
+            attempt += 1
+            continue
+        rated = provider.ask("score", f"{said.text}\n\n{context}", 3)
+        tokens += rated.tokens
+        now = percent(rated.text) or 0
+        if now > score:
+            score, best = now, notes
+        if reason := over():
+            return Summary(best, (), score, False, used, tokens, reason)
+        if now >= policy.threshold(attempt):
+            best, score, accepted = notes, now, True
+        elif last == (policy.band(attempt), now):
+            last, attempt = None, policy.next_band(attempt) or policy.attempts + 1
+        else:
+            last, attempt = (policy.band(attempt), now), attempt + 1
+    topics, spent = topics_of(provider, "\n".join(best))
+    tokens += spent
+    return Summary(best, topics, score, accepted, used, tokens, over() if accepted else None)
+
+
+def summarize_detailed(provider: Provider, context: str, policy: Policy = Policy(), clock=time.monotonic) -> Summary:
+    """Three summaries and one of their notes; the union of the notes, in order, if that is empty. The score is the whole mean."""
+    each = [summarize(provider, context, policy, clock) for _ in range(3)]
+    shown = "\n\n".join(f"Extraction {k}:\n" + "\n".join(s.notes) for k, s in enumerate(each, 1))
+    said = provider.ask("synthesis", shown, 1)
+    notes = note_lines(said.text) or tuple(dict.fromkeys(n for s in each for n in s.notes))
+    topics, spent = topics_of(provider, "\n".join(notes))
+    scores = [s.relevancy for s in each if s.relevancy is not None]
+    return Summary(
+        notes, topics, min(100, sum(scores) // len(scores)) if scores else 0, all(s.validated for s in each), sum(s.attempts for s in each) + 1,
+        sum(s.tokens for s in each) + said.tokens + spent, next((s.exhausted for s in each if s.exhausted), None), tuple(s.notes for s in each),
+    )
+
+
+def summarize_insight(provider: Provider, context: str, policy: Policy = Policy(), clock=time.monotonic) -> Summary:
+    """A summary, with the insights that one more call draws from context and notes added to the notes."""
+    s = summarize(provider, context, policy, clock)
+    notes = "\n".join(s.notes)
+    said = provider.ask("insight", f"{context}\n\n{notes}", 1)
+    return replace(s, notes=s.notes + note_lines(said.text), tokens=s.tokens + said.tokens, attempts=s.attempts + 1)
+
+
+def summarize_topics(provider: Provider, context: str, policy: Policy = Policy(), clock=time.monotonic) -> Summary:
+    """Topics of the first 2,000 characters of the context, and nothing else."""
+    topics, spent = topics_of(provider, context[:2000])
+    return Summary(topics=topics, relevancy=0, attempts=1, tokens=spent)
+
+
+def summarize_skip(provider: Provider, context: str, policy: Policy = Policy(), clock=time.monotonic) -> Summary:
+    return Summary(relevancy=0)
+
+
+MODES = {"full": summarize, "detailed": summarize_detailed, "insight": summarize_insight, "topics_only": summarize_topics, "skip": summarize_skip}
+SUMMARY = "page_id bigint, notes array<string>, topics array<string>, relevancy int, validated boolean, attempts int, tokens bigint, exhausted string, passes array<array<string>>, error string"
+
+
+def summaries(pages: DataFrame, provider: Provider, policy: Policy = Policy(), done: DataFrame | None = None, mode: str = "full") -> DataFrame:
+    """A summary per page (page_id given once); an error stays with its page and stops no other. Pages in ``done`` are skipped. ``mode``: of MODES."""
+    one = MODES[mode]
     rows = pages.select("page_id", P.page_context().alias("context"))
     if done is not None:
         rows = rows.join(done.select("page_id").distinct(), "page_id", "left_anti")
@@ -159,15 +224,16 @@ def summaries(pages: DataFrame, provider: Provider, policy: Policy = Policy(), d
             out = []
             for page, context in zip(pdf.page_id, pdf.context):
                 try:
-                    s, error = summarize(provider, context, policy), None
+                    s, error = one(provider, context, policy), None
                 except Exception as e:
                     s, error = Summary(), f"{type(e).__name__}: {e}"
-                out.append((page, list(s.notes), list(s.topics), s.relevancy, s.validated, s.attempts, s.tokens, s.exhausted, error))
+                out.append((page, list(s.notes), list(s.topics), s.relevancy, s.validated, s.attempts, s.tokens, s.exhausted, [list(p) for p in s.passes], error))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SUMMARY.split(", ")]).astype({"relevancy": "Int32"})
 
-    blank = F.trim("context") == ""
-    nothing = rows.where(blank).selectExpr("page_id", "array() AS notes", "array() AS topics", "0 AS relevancy", "false AS validated", "0 AS attempts", "0L AS tokens", "cast(null AS string) AS exhausted", "cast(null AS string) AS error")
-    nothing = nothing.withColumns({"notes": F.col("notes").cast("array<string>"), "topics": F.col("topics").cast("array<string>")})
+    blank = strip("context") == ""
+    values = {"notes": "array()", "topics": "array()", "relevancy": "0", "validated": "NULL", "attempts": "0", "tokens": "0", "exhausted": "NULL", "passes": "array()", "error": "NULL"}
+    kinds = dict(c.split(" ", 1) for c in SUMMARY.split(", "))
+    nothing = rows.where(blank).selectExpr("page_id", *[f"CAST({v} AS {kinds[c]}) AS {c}" for c, v in values.items()])
     return rows.where(~blank).mapInPandas(skip_empty(run), SUMMARY).unionByName(nothing)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folio_spark.session import numbered
+
 TERMINAL = ("completed", "failed", "canceled")
 
 
@@ -19,8 +21,8 @@ def queue_order(jobs: DataFrame) -> DataFrame:
 
 def queue_places(jobs: DataFrame) -> DataFrame:
     """Every waiting job with its place (from 1) in the order of ``queue_order``."""
-    order = Window.orderBy(F.coalesce("queued_at", "created_at"), "created_at", "job_id")
-    return jobs.where("status = 'queued'").withColumn("place", F.row_number().over(order))
+    order = [F.coalesce("queued_at", "created_at"), "created_at", "job_id"]
+    return numbered(jobs.where("status = 'queued'"), order, "_at").withColumn("place", (F.col("_at") + 1).cast("int")).drop("_at")
 
 
 def statuses(jobs: DataFrame, latest: int = 5) -> DataFrame:

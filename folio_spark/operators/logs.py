@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio_spark.functions.text import log_base_name, redact
+from folio_spark.functions.text import log_base_name, redact, redact_fields
 
 
 def matches(level: str | None = None, source: str | None = None, job: str | None = None, text: str | None = None) -> Column:
@@ -23,7 +23,9 @@ def matches(level: str | None = None, source: str | None = None, job: str | None
 
 
 def redacted(logs: DataFrame) -> DataFrame:
-    return logs.withColumn("message", redact("message")).withColumn("fields", redact("fields"))
+    """Log events without secrets in message, target, file and, at any depth, fields; only those that are there."""
+    plain = {c: redact(c) for c in ("message", "target", "file") if c in logs.columns}
+    return logs.withColumns(plain | ({"fields": redact_fields("fields")} if "fields" in logs.columns else {}))
 
 
 def routed(logs: DataFrame) -> DataFrame:

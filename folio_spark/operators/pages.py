@@ -14,6 +14,7 @@ from folio_spark.functions.tables import csv_line
 from folio_spark.functions.text import strip
 from folio_spark.session import skip_empty
 
+#: The fields of a page that can be asked for.
 FIELDS = (
     "chunk_id", "doc_title", "document_id", "page_number", "text", "tables", "extraction_warnings", "embedded_images", "image_base64", "image_text", "image_classifier",
     "summary_notes", "summary_topics", "summary_relevancy", "summary_quality_validated", "summary_notes_1", "summary_notes_2", "summary_notes_3", "summary_budget_exhausted", "visual_text",
@@ -32,13 +33,12 @@ def parse_range(spec: str) -> list[int]:
 
 
 def sample_range(total: int, n: int) -> list[int]:
-    """``n`` page numbers of ``total``: the front third, the middle around the centre, the rest at the end, topped up from 1."""
-    if n >= total:
-        return list(range(1, total + 1))
-    front, middle = (n + 2) // 3, (n + 1) // 3
-    first = total // 2 - middle // 2
-    out = {*range(1, front + 1), *range(first, first + middle), *range(total - (n - front - middle) + 1, total + 1)}
-    out = {p for p in out if 1 <= p <= total}
+    """``n`` page numbers of ``total``, at least one: the front third, the middle around the centre, the rest at the end, topped up from 1."""
+    n = max(1, min(n, total))
+    front, middle = -(-n // 3), (n + 1) // 3
+    centre = max(1, total // 2 - middle // 2 + 1)
+    wanted = [*range(1, front + 1), *range(centre, centre + middle), *range(total - n + front + middle + 1, total + 1)]
+    out = {p for p in wanted if 1 <= p <= total}
     for p in range(1, total + 1):
         if len(out) >= n:
             break

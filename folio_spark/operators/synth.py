@@ -6,18 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio_spark.functions import pages as P
-from folio_spark.functions.text import question_hash, word_count
+from folio_spark.functions.text import question_hash
+from folio_spark.session import numbered
 
 #: Passage styles, in the order in which they rotate.
-STYLES = ("lecture", "dialogue", "faq", "briefing", "tutorial", "comparison", "timeline", "case_study", "glossary", "critique")
+STYLES = (
+    "internal memo", "analyst brief", "FAQ answer", "onboarding explainer", "meeting-notes recap", "Q&A dialogue between two colleagues",
+    "training quiz with answers", "executive summary", "troubleshooting guide entry", "customer-facing email",
+)
 MIN_WORDS = {"structure": 60, "rephrase": 50, "entigraph": 80, "vision": 55, "answer": 10}
 
 
-def structure_items(pages: DataFrame, per_page: int = 2, min_words: int = MIN_WORDS["structure"]) -> DataFrame:
-    """key, page_id, style: ``per_page`` passages of rotating styles for every page with words enough."""
-    rich = pages.where(word_count("text") >= min_words).select("page_id", F.explode(F.sequence(F.lit(0), F.lit(per_page - 1))).alias("k"))
-    style = F.get(F.array(*[F.lit(s) for s in STYLES]), F.pmod(F.col("page_id") * per_page + F.col("k"), F.lit(len(STYLES))).cast("int"))
-    return rich.select(F.format_string("structure:%s:%s", F.col("page_id").cast("string"), F.col("k").cast("string")).alias("key"), "page_id", style.alias("style"))
+def structure_items(seeds: DataFrame, per_page: int = 24) -> DataFrame:
+    """key, page_id, style: ``per_page`` passages for every seed page, whose styles rotate from the first."""
+    each = seeds.select("page_id", "document_id", P.effective_page_number().cast("string").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(per_page - 1))).alias("k"))
+    style = F.get(F.array(*[F.lit(s) for s in STYLES]), F.col("k") % len(STYLES))
+    return each.select(F.concat_ws(":", F.lit("struct"), "document_id", "n", F.col("k").cast("string")).alias("key"), "page_id", style.alias("style"))
 
 
 def remaining(items: DataFrame, done: DataFrame) -> DataFrame:
@@ -31,8 +35,12 @@ def batches(rows: DataFrame, by: list[str], order: list[str], size: int) -> Data
     return rows.withColumn("_at", at).withColumn("batch", F.floor(F.col("_at") / size).cast("int")).withColumn("place", (F.col("_at") % size).cast("int")).drop("_at")
 
 
-def vision_pages(pages: DataFrame, min_words: int = 1) -> DataFrame:
-    return pages.where(word_count(P.visual_text_corpus()) >= min_words)
+def vision_items(seeds: DataFrame, batch_pages: int = 4) -> DataFrame:
+    """page_id, key, place: the seed pages with visual text in one sequence by page_id, cut into batches whatever their document."""
+    chosen = numbered(seeds.where(P.visual_text_corpus() != "").select("page_id"), ["page_id"], "_at")
+    batch = F.floor(F.col("_at") / batch_pages).cast("string")
+    key = F.concat(F.lit("vision_batch:"), F.when(F.length(batch) < 4, F.lpad(batch, 4, "0")).otherwise(batch))
+    return chosen.select("page_id", key.alias("key"), (F.col("_at") % batch_pages).cast("int").alias("place"))
 
 
 def message(role: str, messages: str = "messages") -> Column:
@@ -47,13 +55,13 @@ def first_questions(records: DataFrame) -> DataFrame:
     return first.select("pair_id", "qhash")
 
 
-def rejudge(records: DataFrame, least: int = 3) -> DataFrame:
+def rejudge(records: DataFrame, least: int = 7) -> DataFrame:
     """pair_id, verdict, reason: groundedness and usefulness of at least ``least``, clarity of one less.
 
     Any missing score is ``judge_no_score``; reasons stand in the order groundedness, usefulness, clarity.
     """
     g, u, c = (F.col(f"judge.{k}") for k in ("groundedness", "usefulness", "clarity"))
-    low = F.concat_ws(",", F.when(g < least, "groundedness"), F.when(u < least, "usefulness"), F.when(c < least - 1, "clarity"))
+    low = F.concat_ws(",", F.when(g < least, "low_groundedness"), F.when(u < least, "low_usefulness"), F.when(c < least - 1, "low_clarity"))
     reason = F.when(g.isNull() | u.isNull() | c.isNull(), "judge_no_score").otherwise(low)
     return records.select("pair_id", reason.alias("reason")).select("pair_id", F.when(F.col("reason") == "", "accepted").otherwise("rejected").alias("verdict"), "reason")
 

@@ -34,8 +34,17 @@ def text_tables(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def footer_move(text: Column) -> Column:
-    """A text whose first filled line bears a copyright sign, with its leading block put to the end."""
-    parts = F.split(F.regexp_replace(text, r"^\s*\n", ""), r"\n\s*\n", 2)
-    head = F.get(parts, F.lit(0))
-    moved = F.when(F.size(parts) > 1, F.concat(F.get(parts, F.lit(1)), F.lit("\n\n"), head)).otherwise(text)
-    return F.when(F.get(F.split(head, "\n", 2), F.lit(0)).contains("©"), moved).otherwise(text)
+    """A page's text, trimmed; if its first filled line bears a copyright sign, the block of lines that it begins, trimmed, is put to the end.
+
+    The block ends at the first blank line; the rest loses blanks at line ends and stands before it.
+    """
+    every = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n", -1), lambda x: x)
+    first = F.array_position(F.transform(every, lambda x: strip(x) != ""), F.lit(True)).cast("int")
+    rest = F.slice(every, first, F.size(every) - first + 1)
+    blank = F.array_position(F.transform(rest, lambda x: strip(x) == ""), F.lit(True)).cast("int")
+    length = F.when(blank > 0, blank - 1).otherwise(F.size(rest))
+    footer = F.array_join(F.transform(F.slice(rest, F.lit(1), length), strip), "\n")
+    after = F.when(blank > 0, F.slice(rest, blank + 1, F.size(rest) - blank)).otherwise(F.array().cast("array<string>"))
+    body = strip(F.array_join(F.transform(after, lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), "\n"))
+    moved = F.when(body == "", footer).otherwise(F.concat(body, F.lit("\n"), footer))
+    return F.when(first == 0, F.lit("")).when(F.contains(F.get(every, first - 1), F.lit("©")), moved).otherwise(strip(text))

@@ -24,8 +24,8 @@ def _seeds(s, r):
 
 
 def _work_left(s, r):
-    items = synth.structure_items(_pages(s, r))
-    done = items.where(F.col("page_id") % 3 == 0).select("key")
+    items = synth.structure_items(corpus.kept(_pages(s, r)))
+    done = items.where(F.col("key").endswith(":0")).select("key")
     return synth.remaining(items, done)
 
 
@@ -60,7 +60,7 @@ def _tuples(pages):
 
 
 QUERIES = {
-    "drop_reasons": lambda s, r: _pages(s, r).groupBy(P.drop_reason(50).alias("reason")).agg(F.count("*").alias("pages")),
+    "drop_reasons": lambda s, r: _pages(s, r).groupBy(P.drop_reason(corpus.MIN_RELEVANCY).alias("reason")).agg(F.count("*").alias("pages")),
     "seeds": _seeds,
     "seeds_manifest": lambda s, r: corpus.seeds_manifest(_pages(s, r)),
     "amplification_budget": lambda s, r: corpus.kept(_pages(s, r)).agg(F.count("*").alias("kept"), (F.count("*") * 500).alias("planned_tokens"), (F.count("*") * 500 * 50).alias("low_target"), (F.count("*") * 500 * 100).alias("high_target")),
@@ -76,9 +76,9 @@ QUERIES = {
     "entity_triples_document": lambda s, r: graph.document_triples(_pages(s, r)),
     "entity_pairs_cross": lambda s, r: graph.cross_pairs(_pages(s, r)),
     "entity_tuple_material": lambda s, r: graph.tuple_material(_pages(s, r), _tuples(_pages(s, r))),
-    "structure_items": lambda s, r: synth.structure_items(_pages(s, r)),
+    "structure_items": lambda s, r: synth.structure_items(corpus.kept(_pages(s, r))),
     "work_items_remaining": _work_left,
-    "vision_batches": lambda s, r: synth.batches(synth.vision_pages(_pages(s, r)).select("page_id", "document_id"), ["document_id"], ["page_id"], 4),
+    "vision_batches": lambda s, r: synth.vision_items(corpus.kept(_pages(s, r))),
     "judge_batches": lambda s, r: synth.batches(_sft(s, r).select("pair_id", F.col("_source.document_id").alias("document_id")), ["document_id"], ["pair_id"], 5),
     "judge_accept": lambda s, r: synth.rejudge(_sft(s, r)),
     "judge_rekey": lambda s, r: synth.rekey(_sft(s, r)).select("pair_id", "key", F.col("_source.sft_key").alias("kept_key")),
@@ -93,7 +93,11 @@ QUERIES = {
     "slugs": lambda s, r: _outputs(s, r).select("document_id", X.slugify("filename").alias("slug")),
     "document_tags": lambda s, r: exports.document_tags(_pages(s, r)).select("document_id", F.array_join("tags", "; ").alias("tags")),
     "markdown_reports": lambda s, r: exports.markdown_reports(_pages(s, r), _outputs(s, r)),
-    "bundle_files": lambda s, r: exports.bundle_files(_pages(s, r), _outputs(s, r)),
+    "report_parts": lambda s, r: exports.report_parts(_pages(s, r)),
+    "bundle_files": lambda s, r: exports.bundle_files(_pages(s, r), _outputs(s, r), "2030-01-01T00:00:00Z"),
+    "single_files": lambda s, r: exports.single_files(_pages(s, r), _outputs(s, r), "2030-01-01T00:00:00Z"),
+    "page_records": lambda s, r: exports.page_records(_pages(s, r)).select("page_id", F.get_json_object("line", "$.page_number").cast("int").alias("number"), F.get_json_object("line", "$.text").alias("text")),
+    "table_records": lambda s, r: exports.table_records(_pages(s, r), _outputs(s, r)).select("page_id", "document_id", "filename", "page_number", "table_index", F.size("rows").alias("n_rows"), "path"),
     "brief_inventory": lambda s, r: _pages(s, r).join(_outputs(s, r).select("document_id", "filename"), "document_id").groupBy("filename").agg(F.count_distinct("document_id").alias("documents"), F.count("*").alias("pages"), F.count_if(P.has_summary()).alias("summarised")),
 }
 _REASON_N = "count(*) FILTER (reason = '{0}')"
@@ -104,14 +108,20 @@ _WANTED = "SELECT DISTINCT input_sha256, config_hash FROM runs WHERE input_sha25
 _CACHE = f"SELECT w.input_sha256, w.config_hash, h.run_id, h.output_json_path FROM ({_WANTED}) w LEFT JOIN ({_HIT}) h ON w.input_sha256 = h.input_sha256 AND w.config_hash = h.config_hash"
 _MENTIONS = f"SELECT DISTINCT entity, page_id, document_id FROM (SELECT lower({S.strip('x')}) AS entity, page_id, document_id FROM (SELECT unnest(summary_topics) AS x, page_id, document_id FROM pages)) WHERE entity <> ''"
 _PAIRS = f"SELECT x.entity AS a, y.entity AS b, x.page_id FROM m x JOIN m y ON x.page_id = y.page_id AND x.entity < y.entity"
-_ITEMS = f"SELECT 'structure:' || page_id || ':' || k AS key, page_id, ['lecture', 'dialogue', 'faq', 'briefing', 'tutorial', 'comparison', 'timeline', 'case_study', 'glossary', 'critique'][CAST((page_id * 2 + k) % 10 AS INTEGER) + 1] AS style FROM pages, (VALUES (0), (1)) v(k) WHERE {S.words('text')} >= 60"
+_STYLES = ", ".join(f"'{x}'" for x in synth.STYLES)
+_ITEMS = f"SELECT 'struct:' || document_id || ':' || {S.PAGE_NO} || ':' || k AS key, page_id, [{_STYLES}][CAST(k % 10 AS INTEGER) + 1] AS style FROM pages, range(0, 24) v(k) WHERE {S.REASON} = 'keep'"
 _FIRST = "list_filter(messages, lambda m: m.role = '{0}')[1].content"
 _TOK = "list_distinct(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9%$.]{{3,}}'))"
 _BATCH = "SELECT {0}, document_id, CAST(floor((row_number() OVER (PARTITION BY document_id ORDER BY {0}) - 1) / {1}) AS INTEGER) AS batch, CAST((row_number() OVER (PARTITION BY document_id ORDER BY {0}) - 1) % {1} AS INTEGER) AS place FROM {2}"
 _QHASH = "sha256(regexp_replace(lower(" + _FIRST.format("user") + r"), '[^\p{L}\p{N}\p{M}_]', '', 'g'))"
-_REASONS = "CASE WHEN judge.groundedness IS NULL OR judge.usefulness IS NULL OR judge.clarity IS NULL THEN 'judge_no_score' ELSE concat_ws(',', CASE WHEN judge.groundedness < 3 THEN 'groundedness' END, CASE WHEN judge.usefulness < 3 THEN 'usefulness' END, CASE WHEN judge.clarity < 2 THEN 'clarity' END) END"
+_REASONS = "CASE WHEN judge.groundedness IS NULL OR judge.usefulness IS NULL OR judge.clarity IS NULL THEN 'judge_no_score' ELSE concat_ws(',', CASE WHEN judge.groundedness < 7 THEN 'low_groundedness' END, CASE WHEN judge.usefulness < 7 THEN 'low_usefulness' END, CASE WHEN judge.clarity < 6 THEN 'low_clarity' END) END"
 _TAG = f"SELECT document_id, tag, min((pos, page_id, k)) AS o FROM (SELECT document_id, pos, page_id, k, {S.strip('x')} AS tag FROM (SELECT document_id, pos, page_id, unnest(summary_topics) AS x, generate_subscripts(summary_topics, 1) AS k FROM pages)) WHERE tag <> '' GROUP BY document_id, tag"
 _OVERLAP_OF = "(len(list_intersect({0}, {1})) / greatest(1, len({0})))"
+_TABLE_PART = f"list_concat(CASE WHEN len(tables) > 1 THEN ['#### Table ' || i] ELSE [] END, list_filter([CASE WHEN coalesce(list_max(list_transform(t, lambda r: len(r))), 0) = 0 THEN '' ELSE {S.md_table('t')} END], lambda x: x <> ''), [''])"
+_PARTS = f"""SELECT document_id, pos, page_id, array_to_string(list_concat(['## Page ' || coalesce(page_number, pos + 1), ''],
+ CASE WHEN {S.some('summary_topics')} THEN list_concat(['### Topics'], list_transform(summary_topics, lambda x: '- ' || x), ['']) ELSE [] END, CASE WHEN {S.some('summary_notes')} THEN list_concat(['### Summary Notes'], list_transform(summary_notes, lambda x: '- ' || x), ['']) ELSE [] END,
+ CASE WHEN NOT noted AND {S.filled('text')} THEN ['### Extracted Text', {S.strip('text')}, ''] ELSE [] END, CASE WHEN NOT noted AND {S.some('tables')} THEN list_concat(['### Tables'], flatten(list_transform(tables, lambda t, i: {_TABLE_PART}))) ELSE [] END), chr(10)) AS part
+ FROM (SELECT *, bool_or({S.HAS_SUMMARY}) OVER (PARTITION BY document_id) AS noted FROM pages) WHERE {S.HAS_SUMMARY} OR NOT noted"""
 _ALL_PAIRS = f"SELECT DISTINCT x.entity AS a, y.entity AS b FROM m x JOIN m y ON x.document_id = y.document_id AND x.entity < y.entity EXCEPT SELECT a, b FROM ({_PAIRS})"
 _ALL_TRIPLES = "SELECT DISTINCT x.entity AS a, y.entity AS b, z.entity AS c FROM o x JOIN o y ON x.document_id = y.document_id AND x.entity < y.entity JOIN o z ON z.document_id = x.document_id AND y.entity < z.entity"
 _OWN = f"m AS ({_MENTIONS}), o AS (SELECT DISTINCT document_id, entity FROM m)"
@@ -141,8 +151,8 @@ SQL = {
  p AS (SELECT a, b, c, k, page_id, document_id, count(DISTINCT entity) AS n FROM h GROUP BY ALL), q AS (SELECT p.*, max(n) OVER (PARTITION BY p.a, p.b, p.c) AS top, shared FROM p JOIN d ON p.a = d.a AND p.b = d.b AND p.c IS NOT DISTINCT FROM d.c AND p.document_id IS NOT DISTINCT FROM d.document_id)
  SELECT a, b, c, page_id, CAST(row_number() OVER (PARTITION BY a, b, c ORDER BY CASE WHEN top = k THEN n < k ELSE shared < k END, page_id) AS INTEGER) AS place FROM q QUALIFY row_number() OVER (PARTITION BY a, b, c ORDER BY CASE WHEN top = k THEN n < k ELSE shared < k END, page_id) <= 4""",
     "structure_items": _ITEMS,
-    "work_items_remaining": f"SELECT * FROM ({_ITEMS}) WHERE page_id % 3 <> 0",
-    "vision_batches": _BATCH.format("page_id", 4, f"pages WHERE {S.words(S.VISUAL_CORPUS)} >= 1"),
+    "work_items_remaining": f"SELECT * FROM ({_ITEMS}) WHERE NOT ends_with(key, ':0')",
+    "vision_batches": f"SELECT page_id, printf('vision_batch:%04d', CAST(n // 4 AS BIGINT)) AS key, CAST(n % 4 AS INTEGER) AS place FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS n FROM pages WHERE {S.REASON} = 'keep' AND {S.VISUAL_CORPUS} <> '')",
     "judge_batches": _BATCH.format("pair_id", 5, "(SELECT pair_id, _source.document_id AS document_id FROM sft)"),
     "judge_accept": f"SELECT pair_id, CASE WHEN reason = '' THEN 'accepted' ELSE 'rejected' END AS verdict, reason FROM (SELECT pair_id, {_REASONS} AS reason FROM sft)",
     "judge_rekey": "SELECT pair_id, 'judged:' || coalesce(sft_key, CAST(pair_id AS VARCHAR)) AS key, coalesce(_source.sft_key, sft_key) AS kept_key FROM sft",
@@ -156,6 +166,10 @@ SQL = {
     "output_counts": f"SELECT generator, count(*) AS records, CAST(sum({S.tokens(_FIRST.format('assistant'))}) AS BIGINT) AS tokens, count(*) FILTER (judge IS NOT NULL) AS judged FROM sft GROUP BY generator",
     "slugs": "SELECT document_id, CASE WHEN s = '' THEN 'document' ELSE s END AS slug FROM (SELECT document_id, regexp_replace(lower(regexp_replace(regexp_replace(filename, '\\.[A-Za-z0-9]{1,5}$', ''), '[^A-Za-z0-9]+', '-', 'g')), '^-+|-+$', '', 'g') AS s FROM doc_outputs)",
     "document_tags": f"SELECT document_id, array_to_string(list(tag ORDER BY o, tag)[1:30], '; ') AS tags FROM ({_TAG}) GROUP BY document_id",
+    "report_parts": _PARTS,
+    "markdown_reports": f"SELECT p.document_id, '# ' || coalesce(any_value(d.filename), p.document_id) || chr(10) || chr(10) || string_agg(part, chr(10) ORDER BY pos, page_id) AS markdown FROM ({_PARTS}) p LEFT JOIN doc_outputs d ON d.document_id = p.document_id GROUP BY p.document_id",
+    "page_records": f"SELECT page_id, CAST({S.PAGE_NO} AS INTEGER) AS number, text FROM pages",
+    "table_records": f"SELECT p.page_id, p.document_id, d.filename, n AS page_number, CAST(k - 1 AS INTEGER) AS table_index, CAST(len(t) AS INTEGER) AS n_rows, printf('tables/page-%04d-table-%d.csv', n, k) AS path FROM (SELECT page_id, document_id, {S.PAGE_NO} AS n, unnest(tables) AS t, generate_subscripts(tables, 1) AS k FROM pages) p LEFT JOIN doc_outputs d ON d.document_id = p.document_id",
     "brief_inventory": f"SELECT filename, count(DISTINCT p.document_id) AS documents, count(*) AS pages, count(*) FILTER ({S.HAS_SUMMARY}) AS summarised FROM pages p JOIN doc_outputs d ON d.document_id = p.document_id GROUP BY filename",
 }
 

@@ -30,6 +30,11 @@ def log_rows(spark, root):
     )
 
 
+def _secret_fields():
+    """Fields with secrets at several depths: in members of secret names, after words that announce them, and bare."""
+    return F.concat(F.lit('{"event":'), F.col("seq").cast("string"), F.lit(',"by":{"api-key":{"id":7},"note":"password: hunter2 ok"},"all":["xoxb-kept","xoxb-'), F.lpad(F.col("seq").cast("string"), 14, "0"), F.lit('"]}'))
+
+
 QUERIES = {
     "runs_newest": lambda s, r: jobs.newest_first(table(s, r, "runs"), 20),
     "run_totals": lambda s, r: jobs.totals(table(s, r, "runs")),
@@ -43,6 +48,7 @@ QUERIES = {
     "log_levels": lambda s, r: log_rows(s, r).groupBy("level", "stage").agg(F.count("*").alias("events")),
     "log_filter": lambda s, r: log_rows(s, r).where(logs.matches(level="error", job="job/1", text="did ERROR")).select("seq", "level", "job_id"),
     "log_redact": lambda s, r: logs.redacted(log_rows(s, r)).select("seq", "message"),
+    "log_redact_fields": lambda s, r: logs.redacted(log_rows(s, r).select("seq", _secret_fields().alias("fields"))).select("seq", "fields"),
     "log_by_job": lambda s, r: logs.routed(log_rows(s, r)).groupBy("base_name").agg(F.count("*").alias("events"), F.max("seq").alias("last_seq")),
     "log_ring": lambda s, r: logs.ring(log_rows(s, r)).select("seq", "level"),
     "log_retention": lambda s, r: logs.within_days(log_rows(s, r), "2024-01-15 00:00:00", 7).groupBy("level").agg(F.count("*").alias("events")),
@@ -65,7 +71,8 @@ SQL = {
     "job_durations": f"SELECT job_id, greatest(0, epoch_ms(completed_at) - epoch_ms(created_at)) AS ms FROM ({_JOBS}) WHERE completed_at IS NOT NULL",
     "log_levels": f"SELECT level, stage, count(*) AS events FROM ({_LOGS}) GROUP BY level, stage",
     "log_filter": f"SELECT seq, level, job_id FROM ({_LOGS}) WHERE level = 'error' AND contains(job_id, 'job/1') AND contains(lower(message), 'did error')",
-    "log_redact": f"SELECT seq, regexp_replace(message, 'token=[0-9]+', 'token=[redacted]') AS message FROM ({_LOGS})",
+    "log_redact": f"SELECT seq, regexp_replace(message, 'token=[0-9]+', 'token=[REDACTED]') AS message FROM ({_LOGS})",
+    "log_redact_fields": """SELECT seq, '{"event":' || seq || ',"by":{"api-key":"[REDACTED]","note":"password: [REDACTED] ok"},"all":["xoxb-kept","[REDACTED]"]}' AS fields FROM (SELECT event_id AS seq FROM events)""",
     "log_by_job": f"SELECT coalesce(replace(job_id, '/', '-'), 'app') AS base_name, count(*) AS events, max(seq) AS last_seq FROM ({_LOGS}) GROUP BY 1",
     "log_ring": f"SELECT seq, level FROM ({_LOGS}) ORDER BY seq DESC LIMIT 2000",
     "log_retention": f"SELECT level, count(*) AS events FROM ({_LOGS}) WHERE timestamp >= TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 7 DAY GROUP BY level",

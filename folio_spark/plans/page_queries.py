@@ -84,13 +84,14 @@ def _cut(w: str) -> str:
 
 _T = "SELECT page_id, document_id, {strip} AS t FROM (SELECT page_id, document_id, unnest(summary_topics) AS x FROM pages{where})"
 _TABLES = "SELECT page_id, unnest(tables) AS t, generate_subscripts(tables, 1) AS table_no FROM pages"
-_ESCAPED = r"replace(replace(replace(replace(c, '\', '\\'), '|', '\|'), chr(13) || chr(10), ' '), chr(10), ' ')"
+_ESCAPED = S.strip(r"replace(replace(replace(c, '\', '\\'), '|', '\|'), chr(10), ' ')")
 _GREP = f"""{S.strip("regexp_replace(concat_ws(chr(10), coalesce(text, ''), array_to_string(coalesce(summary_notes, []), chr(10)), " + S.VISUAL_QUERY + "), '" + S.WS + "+', ' ', 'g')")}"""
 _BULLET = S.strip("regexp_replace(regexp_replace(" + S.strip("x") + ", '^[*\\-•]+', ''), '^[0-9.)]+', '')")
 _CELL = "CASE WHEN regexp_matches(c, '[,\"\\r\\n]') THEN '\"' || replace(c, '\"', '\"\"') || '\"' ELSE c END"
 _CONTEXT_TABLE = "'Table ' || i || ':' || chr(10) || array_to_string(list_transform(t, lambda r: array_to_string(r, ' | ')), chr(10))"
 _IMAGE = f"coalesce({S.strip('image_text')}, '')"
 _CELL_TOKENS = f"coalesce(list_sum(list_transform(flatten(flatten(coalesce(tables, []))), lambda c: {S.tokens('c')})), 0)"
+_BODY = S.strip(f"array_to_string(list_transform(string_split(replace(text, chr(13), ''), chr(10)), lambda x: regexp_replace(x, '{S.WS}+$', '')), chr(10))")
 _STATS = f"count(*) AS pages, count(*) FILTER ({S.VISUAL_QUERY} <> '') AS with_vision, count(*) FILTER ({S.HAS_SUMMARY}) AS with_summaries, count(*) FILTER ({S.some('tables')}) AS with_tables"
 _LOWER = f"SELECT lower(t) AS topic, count(*) AS mentions, arg_min(t, (page_id, k)) AS label FROM (SELECT page_id, k, {S.strip('x')} AS t FROM (SELECT page_id, unnest(summary_topics) AS x, generate_subscripts(summary_topics, 1) AS k FROM pages)) WHERE t <> '' GROUP BY 1"
 SQL = {
@@ -123,7 +124,7 @@ SQL = {
     "quality_policy": "SELECT CAST(n AS INTEGER) AS attempt, CASE WHEN n <= 5 THEN 90 ELSE 85 END AS threshold, CASE WHEN n <= 10 THEN 1 WHEN n <= 20 THEN 2 ELSE 3 END AS tier, CASE WHEN n <= 5 THEN 'primary' ELSE 'fallback' END AS prompt FROM range(1, 31) t(n)",
     "probe_documents": "SELECT document_id, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(max(length(text)) AS INTEGER) AS longest, CAST(sum(coalesce(len(tables), 0)) AS BIGINT) AS tables FROM pages GROUP BY document_id",
     "call_estimate": f"SELECT document_id, count(*) AS pages, count(*) * 3 AS detailed_calls, count(*) FILTER ({S.some('embedded_images')}) AS vision_calls, count(*) * 300 AS seconds_bound FROM pages GROUP BY document_id",
-    "footer_move": f"SELECT page_id, replace(text, chr(13), '') || chr(10) || chr(10) || '© 2030 Works' || chr(10) || 'All rights' AS text FROM pages",
+    "footer_move": f"SELECT page_id, CASE WHEN {_BODY} = '' THEN '' ELSE {_BODY} || chr(10) END || '© 2030 Works' || chr(10) || 'All rights' AS text FROM pages",
     "chunk_windows": """
 WITH RECURSIVE w AS (
   SELECT doc_id, text, length(text) AS n, 0 AS start, CASE WHEN length(text) <= 3000 THEN length(text) ELSE 0 + off END AS cut

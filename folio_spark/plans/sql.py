@@ -32,15 +32,15 @@ VISUALS = "[image_text, image_text_1, image_text_2, image_text_3]"
 VISUAL_CORPUS = strip(f"array_to_string(list_filter({VISUALS}, lambda x: x IS NOT NULL AND {strip('x')} <> ''), chr(10))")
 VISUAL_QUERY = f"array_to_string(list_filter(list_transform({VISUALS}, lambda x: {strip(chr(99) + 'oalesce(x, ' + chr(39) * 2 + ')')}), lambda x: x <> ''), chr(10) || chr(10))"
 REASON = (
-    f"CASE WHEN {some('extraction_warnings')} THEN 'extraction_warnings' WHEN summary_relevancy < 50 THEN 'low_relevancy' "
+    f"CASE WHEN {some('extraction_warnings')} THEN 'extraction_warnings' WHEN summary_relevancy < 70 THEN 'low_relevancy' "
     f"WHEN NOT {filled('text')} AND {VISUAL_CORPUS} = '' AND NOT {some('tables')} THEN 'empty' ELSE 'keep' END"
 )
-HAS_SUMMARY = f"({some('summary_notes')} OR {some('summary_topics')} OR summary_relevancy IS NOT NULL)"
+HAS_SUMMARY = f"({some('summary_notes')} OR {some('summary_topics')})"
 FLAT = f"regexp_replace(coalesce(text, ''), '{WS}+', ' ', 'g')"
 DESCRIPTION = (
-    f"coalesce({strip('list_filter(coalesce(summary_notes, []), lambda x: ' + strip('x') + chr(32) + '<> ' + chr(39) * 2 + ')[1]')}, "
+    f"coalesce(CASE WHEN {some('summary_notes')} THEN {strip('summary_notes[1]')} END, "
     f"nullif(CASE WHEN length({strip(FLAT)}) > 120 THEN left({strip(FLAT)}, 117) || '...' ELSE {strip(FLAT)} END, ''), "
-    f"left({strip('regexp_replace(' + VISUAL_QUERY + ', ' + chr(39) + WS + '+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, 120))"
+    f"{strip('left(' + VISUAL_QUERY + ', 120)')})"
 )
 
 
@@ -53,5 +53,5 @@ def md_table(t: str, cell: str = "c", padded: bool = True) -> str:
     cells = f"list_transform(r, lambda c: {cell})"
     row = md_row(f"list_concat({cells}, list_transform(range(0, greatest(0, {n} - len(r))), lambda i: ''))" if padded else cells)
     rows = f"list_transform({t}, lambda r: {row})"
-    rule = md_row(f"list_transform(range(0, {n}), lambda i: '---')")
+    rule = f"('|' || repeat('---|', {n}))"
     return f"array_to_string(list_concat({rows}[1:1], [{rule}], {rows}[2:]), chr(10))"

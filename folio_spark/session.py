@@ -9,7 +9,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 _written: list[str] = []
@@ -71,6 +72,19 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """``rows`` with their place (from 0) in ``order``, as a bigint column ``name``, without putting all of them into one task.
+
+    Rows are ranged and sorted once and written, so that places and counts are of the same
+    parts; only one count for each part is gathered.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = materialize(placed, "numbered").withColumn("_part", F.shiftright("_id", 33))
+    counts = placed.groupBy("_part").agg((F.max("_id") - F.shiftleft("_part", 33) + 1).alias("n"))
+    before = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_id") - F.shiftleft("_part", 33)).drop("_id", "_part", "_before")
+
+
 def release(spark: SparkSession) -> None:
     """Delete what ``materialize`` wrote in this process; its frames can't be read afterwards."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -174,12 +174,18 @@ def _paragraphs(root, inside_tables: bool) -> list[str]:
     return [t for p in root.iter(A + "p") if id(p) not in skip and (t := "".join(x.text or "" for x in p.iter(A + "t")).strip())]
 
 
+def _continues(cell) -> bool:
+    """Whether a table cell only goes on with one that is merged over it."""
+    properties = cell.find(A + "tcPr")
+    return properties is not None and "1" in (properties.get("hMerge"), properties.get("vMerge"))
+
+
 def _slide_tables(root) -> list[list[list[str]]]:
     out = []
     for t in root.iter(A + "tbl"):
         rows = []
         for tr in t.findall(A + "tr"):
-            cells = ["\n".join(x for p in tc.iter(A + "p") if (x := "".join(r.text or "" for r in p.iter(A + "t")).strip())) for tc in tr.findall(A + "tc") if not (tc.get("hMerge") or tc.get("vMerge"))]
+            cells = ["\n".join(x for r in tc.iter(A + "t") if (x := (r.text or "").strip())) for tc in tr.findall(A + "tc") if not _continues(tc)]
             if cells:
                 rows.append(cells)
         if rows:

@@ -27,9 +27,47 @@ def test_a_score_below_the_first_threshold_passes_the_second():
     assert s.attempts == 6 and s.validated
 
 
-def test_low_scores_use_all_attempts_and_keep_the_best():
+def test_the_same_score_twice_skips_the_band():
+    """Two attempts in each of four bands, each scored, and one call for topics."""
     s = E.summarize(Scripted("80", 1), "text")
-    assert s.attempts == 30 and s.relevancy == 80 and s.validated is False
+    assert (s.attempts, s.tokens, s.relevancy, s.validated) == (22, 17, 80, False) and s.topics == ("a", "b", "c")
+
+
+class Rising(Scripted):
+    """Other notes and a score one higher every time."""
+
+    def ask(self, kind, prompt, tier=1):
+        if kind in ("notes", "score"):
+            self.calls = [*getattr(self, "calls", []), (kind, tier)]
+        n = sum(k == "notes" for k, _ in getattr(self, "calls", []))
+        return E.Answer({"notes": f"* n{n}", "score": f"{n}%", "topics": "" if tier < 3 else f"t of {prompt[-2:]}"}.get(kind, ""), 1)
+
+
+def test_scores_that_change_use_all_attempts_and_keep_the_best():
+    model = Rising("", 1)
+    s = E.summarize(model, "text")
+    assert s.attempts == 30 and s.relevancy == 30 and s.notes == ("n30",) and s.topics == ("t of 30",) and s.tokens == 63
+    assert [t for k, t in model.calls if k == "score"] == [3] * 30 and [t for k, t in model.calls if k == "notes"] == [1] * 10 + [2] * 10 + [3] * 10
+
+
+class Silent(E.Provider):
+    def ask(self, kind, prompt, tier=1):
+        return E.Answer("* \n" if kind == "notes" else "50", 1)
+
+
+def test_answers_without_notes_are_not_scored():
+    s = E.summarize(Silent(), "text")
+    assert (s.notes, s.topics, s.relevancy, s.attempts, s.tokens, s.validated) == ((), (), 0, 30, 30, False)
+
+
+def test_modes():
+    s = E.summarize_detailed(Scripted("95", 1), "text")
+    assert (s.attempts, s.tokens, s.relevancy, s.validated, s.notes) == (4, 11, 95, True, ("note", "other")) and s.passes == (("note", "other"),) * 3
+    s = E.summarize_insight(Scripted("95", 1), "text")
+    assert s.notes == ("note", "other") * 2 and s.attempts == 2 and s.tokens == 4
+    s = E.summarize_topics(Scripted("95", 1), "x" * 3000)
+    assert (s.topics, s.relevancy, s.attempts, s.validated) == (("a", "b", "c"), 0, 1, None)
+    assert E.summarize_skip(Scripted("95", 1), "text") == E.Summary(relevancy=0) == E.summarize(Scripted("95", 1), " \n")
 
 
 def test_token_budget_stops_with_the_notes():
@@ -67,7 +105,7 @@ def test_summaries_degrade_per_page_and_resume(spark):
     pages = spark.createDataFrame([(1, "fine", [], None), (2, "boom", [], None), (3, None, None, None), (4, "done", [], None)], cols)
     done = spark.createDataFrame([(4,)], "page_id bigint")
     got = {r.page_id: r for r in E.summaries(pages, Scripted("95", 1), done=done).collect()}
-    assert set(got) == {1, 2, 3} and got[1].relevancy == 95 and got[2].error == "RuntimeError: no model" and got[2].relevancy is None and got[3].attempts == 0
+    assert set(got) == {1, 2, 3} and got[1].relevancy == 95 and got[2].error == "RuntimeError: no model" and got[2].relevancy is None and got[3].attempts == 0 and got[3].validated is None
     metrics = E.stage_metrics(E.summaries(pages.where("page_id = 1"), Scripted("95", 1))).first()
     assert (metrics.pages_processed, metrics.tokens, metrics.avg_relevancy) == (1, 3, 95)
 

@@ -25,9 +25,10 @@ def test_text_functions(spark):
     assert one(spark, "* 3 items\n2024 sales\n\n-• x \r\n1.) y", X.clean_bullets) == ["3 items", "sales", "x", "y"]
     assert one(spark, "- a, b\nc,d,,e, f", X.clean_topics) == ["a", "b", "c", "d", "e"]
     assert one(spark, "My Report (v2).docx", X.slugify) == "my-report-v2" and one(spark, "....pdf", X.slugify) == "document"
-    assert one(spark, 'a "b"\\', X.yaml_scalar) == '"a \\"b\\"\\\\"'
+    assert one(spark, 'a "b"\\', X.yaml_scalar) == '"a \\"b\\"\\\\"' and one(spark, " a\r\nb\n", X.yaml_scalar) == '"a b"'
+    assert one(spark, " <|channel|>thought<channel|> said ", X.clean_answer) == "said" and one(spark, "a <|channel|>thought<channel|>", X.clean_answer) == "a <|channel|>thought<channel|>"
     assert one(spark, "What is it?", X.question_hash) == one(spark, "what  IS, it", X.question_hash)
-    assert one(spark, "token=abc123; Bearer abcdefgh12 \"password\": \"x y\" ok", X.redact) == 'token=[redacted]; [redacted] "password": "[redacted]" ok'
+    assert one(spark, "token=abc123; Authorization: Bearer x, sk-abcdefghijkl xoxb-123456789012 ghp_abcdefghijkl sk-short", X.redact) == "token=[REDACTED]; Authorization: [REDACTED] x, [REDACTED] [REDACTED] [REDACTED] sk-short"
     assert one(spark, "../a b/c", X.log_base_name) == "a-b-c" and one(spark, None, X.log_base_name) == "app"
     assert [one(spark, v, X.score_value) for v in ("7.9", "0", "99", "x", None)] == [7, 1, 10, None, None]
 
@@ -35,9 +36,10 @@ def test_text_functions(spark):
 def test_tables(spark):
     t = [["a", "b"], ["1"], ["x|y", "c\nd", 'q"']]
     kind = "array<array<string>>"
-    assert one(spark, t, M.report_markdown, kind) == '| a | b |  |\n| --- | --- | --- |\n| 1 |  |  |\n| x|y | c\nd | q" |'
+    assert one(spark, t, M.report_markdown, kind) == '| a | b |  |\n|---|---|---|\n| 1 |  |  |\n| x|y | c\nd | q" |'
     assert one(spark, t, M.bundle_markdown, kind).endswith('| x\\|y | c d | q" |')
-    assert one(spark, [t[:2], [], [["z"]]], M.corpus_markdown, f"array<{kind}>") == "| a | b |\n| --- | --- |\n| 1 |\n\n| z |\n| --- |"
+    assert one(spark, [t[:2], [], [["z"]]], M.corpus_markdown, f"array<{kind}>") == "| a | b |\n|---|---|\n| 1 |\n\n| z |\n|---|"
+    assert one(spark, [["h"]] + [[str(i)] for i in range(3000)], M.report_markdown, kind).count("\n") == 3001 and one(spark, [[], []], M.report_markdown, kind) == ""
     assert one(spark, t[2], M.csv_line, "array<string>") == 'x|y,"c\nd","q"""'
 
 
@@ -46,6 +48,7 @@ def test_page_ranges():
     for bad in ("0", "3-2", "1,,2", "", "a"):
         with pytest.raises(ValueError):
             parse_range(bad)
+    assert sample_range(10, 3) == [1, 6, 10] and sample_range(100, 6) == [1, 2, 50, 51, 99, 100] and sample_range(5, 0) == [1] and sample_range(3, 9) == [1, 2, 3]
     for total in range(1, 40):
         for n in range(1, 12):
             got = sample_range(total, n)
@@ -70,8 +73,15 @@ def test_text_tables(spark):
 
 
 def test_footer_moves(spark):
-    assert one(spark, "© 2030 Works\nmore\n\nBody.\n\nEnd.", footer_move) == "Body.\n\nEnd.\n\n© 2030 Works\nmore"
-    assert one(spark, "Body © here\n\nEnd.", footer_move).startswith("End") and one(spark, "Body.\n\n© x", footer_move) == "Body.\n\n© x"
+    assert one(spark, "© 2030 Works\nmore\n\nBody.\n\nEnd.", footer_move) == "Body.\n\nEnd.\n© 2030 Works\nmore"
+    assert one(spark, "Body © here\n\nEnd.", footer_move) == "End.\nBody © here" and one(spark, " Body.\n\n© x\n", footer_move) == "Body.\n\n© x"
+    assert one(spark, "\n \n © a \n b\n", footer_move) == "© a\nb" and one(spark, " \n ", footer_move) == "" and one(spark, "© a\r\n\r\nx  \r\ny", footer_move) == "x\ny\n© a"
+
+
+def test_log_fields():
+    assert X.redact_json('{"a":{"my-token":[1],"x":"secret: s1, y"},"n":[1,null,"ghp_abcdefghijkl"]}') == '{"a":{"my-token":"[REDACTED]","x":"secret: [REDACTED], y"},"n":[1,null,"[REDACTED]"]}'
+    assert X.redact_json("not json, password=x") == "not json, password=[REDACTED]" and X.redact_json(None) is None and X.redact_json('{ "b": 1 }') == '{ "b": 1 }'
+    assert [X.secret_name(n) for n in ("API_KEY", "apikey", "user.key", "keys", "monkey", "Authorization")] == [True, True, True, False, False, True]
 
 
 def test_fields_are_checked(spark):
@@ -82,7 +92,7 @@ def test_fields_are_checked(spark):
 def test_config():
     base = PipelineConfig()
     assert base.merged({"chunk_size": 10, "unknown": 1, "chunk_overlap": None}).chunk_size == 10
-    assert base.with_settings(["chunk_size=5", "vision_mode=api"]).vision_mode == "api" and base.preset("text").text_only
+    assert base.with_settings(["chunk_size=5", "vision_mode=codex"]).vision_mode == "codex" and base.preset("finetune-ingest").summarizer_detailed_extraction
     assert base.digest() == PipelineConfig().digest() != base.merged({"chunk_size": 1}).digest()
     with pytest.raises(ValueError):
         PipelineConfig(pdf_image_dpi="99")

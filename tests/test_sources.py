@@ -49,7 +49,7 @@ def test_docx_page_breaks_collapse():
 
 
 def slides():
-    cell = lambda t, m="": f"<a:tc{m}><a:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></a:txBody></a:tc>"
+    cell = lambda t, m="": f"<a:tc><a:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></a:txBody><a:tcPr{m}/></a:tc>"
     table = f"<a:tbl><a:tr>{cell('x')}{cell('y')}</a:tr><a:tr>{cell('1')}{cell('', ' hMerge=' + chr(34) + '1' + chr(34))}</a:tr></a:tbl>"
     png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + struct.pack(">II", 4, 4)
     return {
