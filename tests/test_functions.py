@@ -96,3 +96,14 @@ def test_config():
     assert base.digest() == PipelineConfig().digest() != base.merged({"chunk_size": 1}).digest()
     with pytest.raises(ValueError):
         PipelineConfig(pdf_image_dpi="99")
+
+
+def test_most_frequent_is_bounded(spark):
+    from folio_spark.session import most_frequent, numbered
+
+    rows = spark.createDataFrame([(f"w{i}", 1 + i // 10) for i in range(1000)], "word string, n bigint")
+    got = {r.n for r in most_frequent(rows, "n", 100).collect()}
+    assert 0 < len(got) <= 10 and got == set(range(101 - len(got), 101))
+    assert most_frequent(rows, "n", 5).count() == 0 and most_frequent(rows, "n", 5000).count() == 1000 and most_frequent(rows.limit(0), "n", 5).count() == 0
+    placed = numbered(rows.repartition(7), [F.desc("n"), "word"], "at").collect()
+    assert [r.word for r in sorted(placed, key=lambda r: r.at)] == [r.word for r in rows.orderBy(F.desc("n"), "word").collect()] and sorted(r.at for r in placed) == list(range(1000))
