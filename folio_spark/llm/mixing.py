@@ -89,12 +89,13 @@ def _items(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p9_selection(spark: SparkSession, root: str) -> DataFrame:
-    return mix(_items(spark, root), table(spark, root, "mix_targets")).withColumnRenamed("item_id", "doc_id")
+    """The mix of the documents; the inclusion size of a document is its tokens, so every token of a source is as likely to be used."""
+    return mix(_items(spark, root), table(spark, root, "mix_targets"), weight_col="n_tokens").withColumnRenamed("item_id", "doc_id")
 
 
 def p9_shares(spark: SparkSession, root: str) -> DataFrame:
     items, targets = _items(spark, root), table(spark, root, "mix_targets")
-    return shares(materialize(mix(items, targets), "p9-mixed"), items, targets)
+    return shares(materialize(mix(items, targets, weight_col="n_tokens"), "p9-mixed"), items, targets)
 
 
 QUERIES = {"p9_selection": p9_selection, "p9_shares": p9_shares}

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio_spark.session import materialize, skip_empty, table
+from folio_spark.session import materialize, most_frequent, skip_empty, table
 
 MAX_WORDS, MIN_WORD_COUNT, MAX_TRAINING_PAGES = 200_000, 3, 2000
 HEADER, NUMBER, BODY, BREAK = "header", "number", "body", "break"
@@ -75,7 +75,7 @@ def lexicon(texts: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_W
         yield flush()
 
     totals = texts.select("text").where("text IS NOT NULL").mapInPandas(skip_empty(count), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = totals.where(F.col("n") >= min_count).orderBy(F.desc("n"), "word").limit(max_words).toPandas()
+    rows = most_frequent(totals.where(F.col("n") >= min_count), "n", max_words).toPandas()
     return dict(zip(rows.word, (int(n) for n in rows.n)))
 
 

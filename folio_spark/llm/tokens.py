@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio_spark.session import materialize, skip_empty, table
+from folio_spark.session import materialize, most_frequent, skip_empty, table
 
 #: Where the vocabulary files of public tokenizers lie, on every executor. A parameter of all operators here.
 TOKENIZERS = "/opt/tokenizers"
@@ -178,7 +178,7 @@ def token_items(items: DataFrame, keys: list[str], path: str = TOKENIZERS, vocab
     """
     rows = items.select(*keys, "text").withColumn("_row", F.monotonically_increasing_id())
     counts = materialize(piece_counts(rows, path, vocabulary), "p4-pieces")
-    head = counts.orderBy(F.desc("n"), "piece").limit(max_head).select("piece", "tokens").toPandas()
+    head = most_frequent(counts, "n", max_head).select("piece", "tokens").toPandas()
     shared = rows.sparkSession.sparkContext.broadcast(dict(zip(head.piece, (int(n) for n in head.tokens))))
     kinds = dict(rows.dtypes)
 
@@ -228,17 +228,20 @@ KEYS = ["corpus", "item_id", "source", "lang", "domain"]
 
 
 def corpus_items(spark: SparkSession, root: str) -> DataFrame:
-    """Pages (source: doc_title; lang and domain of their document) and documents, as items."""
-    outputs = table(spark, root, "doc_outputs").groupBy("document_id").agg(F.max("metadata").alias("metadata"))
-    meta = outputs.select("document_id", language(F.get_json_object("metadata", "$.lang")).alias("lang"), F.get_json_object("metadata", "$.domain").alias("domain"))
-    pages = table(spark, root, "pages").select("page_id", "document_id", "doc_title", "text").join(meta, "document_id", "left")
-    pages = pages.select(F.lit("pages").alias("corpus"), F.col("page_id").alias("item_id"), F.col("doc_title").alias("source"), "lang", "domain", "text")
-    documents = table(spark, root, "documents").select(F.lit("documents").alias("corpus"), F.col("doc_id").alias("item_id"), "source", language(F.col("lang")).alias("lang"), "domain", "text")
+    """Pages (source: doc_title) and documents as items; pages with the id of their document, which holds their lang and domain."""
+    nothing = F.lit(None).cast("string")
+    pages = table(spark, root, "pages").select(F.lit("pages").alias("corpus"), F.col("page_id").alias("item_id"), F.col("doc_title").alias("source"), nothing.alias("lang"), nothing.alias("domain"), "document_id", "text")
+    documents = table(spark, root, "documents").select(F.lit("documents").alias("corpus"), F.col("doc_id").alias("item_id"), "source", language(F.col("lang")).alias("lang"), "domain", nothing.alias("document_id"), "text")
     return pages.unionByName(documents)
 
 
 def p4_items(spark: SparkSession, root: str) -> DataFrame:
-    return token_items(corpus_items(spark, root), KEYS)
+    """Tokens of every page and document. Texts are counted where they lie; only the counts are joined with lang and domain."""
+    outputs = table(spark, root, "doc_outputs").groupBy("document_id").agg(F.max("metadata").alias("metadata"))
+    meta = outputs.select("document_id", language(F.get_json_object("metadata", "$.lang")).alias("_lang"), F.get_json_object("metadata", "$.domain").alias("_domain"))
+    counted = token_items(corpus_items(spark, root), [*KEYS, "document_id"])
+    both = counted.join(meta, "document_id", "left")
+    return both.select("corpus", "item_id", "source", F.coalesce("lang", "_lang").alias("lang"), F.coalesce("domain", "_domain").alias("domain"), "tokens")
 
 
 def p4_totals(spark: SparkSession, root: str) -> DataFrame:

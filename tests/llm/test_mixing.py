@@ -60,5 +60,20 @@ def test_weights_make_inclusion_unequal(spark):
     assert odd > 3 * (len(got) - odd) and abs(sum(r.n_tokens for r in got) - 8000) <= 10
 
 
+def test_inclusion_is_proportional_to_size(spark):
+    """Over many seeds an item of twice the tokens is drawn twice as often, and the quota is met each time."""
+    rows = [(i, "a", 10 * (1 + i % 4)) for i in range(400)] + [(9000 + i, "b", 10) for i in range(100)]
+    items = spark.createDataFrame(rows, ITEM).cache()
+    targets = spark.createDataFrame([("a", 1, 1), ("b", 1, 1)], TARGET)
+    drawn = dict.fromkeys((10, 20, 30, 40), 0)
+    for seed in range(12):
+        got = M.mix(items, targets, seed=seed, weight_col="n_tokens").where("source = 'a'").collect()
+        assert abs(sum(r.n_tokens for r in got) - 1000) <= 20 and all(r.copies == 1 for r in got)
+        for r in got:
+            drawn[r.n_tokens] += 1
+    rates = {k: n / 1200 for k, n in drawn.items()}
+    assert all(abs(rates[k] / (k * 1000 / sum(t * t for _, s, t in rows if s == "a")) - 1) < 0.3 for k in rates), rates
+
+
 def test_empty(spark):
     assert M.mix(spark.createDataFrame([], ITEM), spark.createDataFrame([], TARGET)).count() == 0
