@@ -18,17 +18,15 @@ from pyspark.sql import functions as F
 
 from folio_spark.session import materialize, most_frequent, skip_empty, table
 
-MAX_WORDS, MIN_WORD_COUNT, MAX_TRAINING_PAGES = 200_000, 3, 2000
+MAX_WORDS, MIN_WORD_COUNT, MAX_TRAINING_PAGES, MIN_KEY = 200_000, 3, 2000, 4
 HEADER, NUMBER, BODY, BREAK = "header", "number", "body", "break"
 STATES = (HEADER, NUMBER, BODY, BREAK)
 HYPHENS = "-‐­¬‑"
 
 _STRIP = " \t\r.,;:!?…\"'“”„‘’«»‹›()[]{}*_#>–—·•/\\"
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
-_NUMBER_LINE = re.compile(
-    r"^[\W_]*(?:(?:page|pages|p|pg|seite|s|página|pagina|pág|pag|folio|blatt|hoja)[\W_]+)?(?:[\dOolI|SBZ]{0,3}\d[\dOolI|SBZ]{0,3}|[ivxlc]{1,7}|[IVXLC]{1,7})(?:\s*(?:/|of|von|de|sur)\s*[\dOolI|]{1,4}|\s*\(\s*[\dOolI|]{1,4}\s*\))?[\W_]*$",
-    re.IGNORECASE,
-)
+_PAGE_WORD = re.compile(r"[\W_]*(?:page|pages|p|pg|seite|s|página|pagina|pág|pag|folio|blatt|hoja)\b", re.IGNORECASE)
+_ROMAN = re.compile(r"[\W_]*(?:[ivxlc]{1,7}|[IVXLC]{1,7})[\W_]*")
 #: Characters that recognition confuses, each group made one sign; pairs first.
 PAIRS = (("rn", "m"), ("ii", "u"), ("vv", "w"), ("cl", "d"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"))
 ONE = str.maketrans({"0": "o", "1": "i", "l": "i", "|": "i", "!": "i", "r": "i", "j": "i", "5": "s", "$": "s", "8": "b", "6": "b", "9": "g", "q": "g", "@": "a", "4": "a", "c": "e", "3": "e", "é": "e", "è": "e", "ê": "e", "f": "t", "7": "t", "2": "z", "h": "b"})
@@ -143,21 +141,27 @@ def edges(text: str) -> list[int]:
 
 
 def features(lines: list[str], k: int, filled: list[int], repeated: bool) -> tuple:
-    """Layout features of a line: place, shape, repetition in its document, width, how it begins and ends."""
-    line = lines[k]
-    if not line.strip():
-        return ("blank", "-", False, "-", "-")
-    s = line.strip()
-    place = "first" if k == filled[0] else "last" if k == filled[-1] else "second" if k in (filled[1:2] + filled[-2:-1]) else "inner"
-    if place in ("first", "last") and _NUMBER_LINE.match(s):
-        shape = "number"
-    elif re.search(r"\s[|·–—/]\s|:\s|\S {2,}\S", s) or (s.upper() == s and sum(c.isalpha() for c in s) > 5):
-        shape = "parted"
-    else:
-        shape = "plain"
-    width = "wide" if len(s) > 90 else "line" if len(s) > 25 else "short"
-    end = "stop" if s[-1] in ".!?;," else "hyphen" if s[-1] in HYPHENS else "open"
-    return (place, shape, repeated and place != "inner", width, end)
+    """Layout features of a line: its place; digits, letters and form; separators and capitals; whether its heading is on another page; how it begins and ends.
+
+    None of them says what the line is: that is the model's to weigh.
+    """
+    s = lines[k].strip()
+    if not s:
+        return ("blank", "-", "-", "-", "-")
+    place = "first" if k == filled[0] else "last" if k == filled[-1] else "second" if k == filled[1] else "last but one" if k == filled[-2] else "inner"
+    solid = [c for c in s if not c.isspace()]
+    digits, letters, words = sum(c.isdigit() for c in solid), sum(c.isalpha() for c in solid), len(s.split())
+    form = "roman" if _ROMAN.fullmatch(s) else "page" if words < 5 and _PAGE_WORD.match(s) else "other"
+    share = digits / len(solid)
+    much = "most" if form == "page" and words > 1 else "percent" if "%" in s else "none" if not digits else "some" if share < 0.2 else "many" if share < 0.6 else "most"
+    long = next((n for n in (60, 25, 7, 3, 1) if letters >= n), 0)
+    mark = "bar" if re.search(r"\s[|·]\s", s) else "dash" if re.search(r"\s[–—/]\s", s) else "colon" if re.search(r":\s", s) else "gap" if re.search(r"\S {2,}\S", s) else "none"
+    names = [w for w in re.findall(r"[^\W\d_]+", s) if len(w) > 3]
+    upper = sum(w[0].isupper() for w in names)
+    capitals = "none" if not names else "all" if all(w.isupper() for w in names) else "title" if len(names) > 1 and 2 * upper >= len(names) else "other"
+    begin = "lower" if s[0].islower() else "upper" if s[0].isupper() else "digit" if s[0].isdigit() else "sign"
+    end = "stop" if s[-1] in ".!?;" else "comma" if s[-1] in ",:" else "hyphen" if s[-1] in HYPHENS else "digit" if s[-1].isdigit() else "letter" if s[-1].isalpha() else "sign"
+    return (place, f"{much} {long} {form}", f"{mark} {capitals}", repeated and place != "inner", f"{begin} {end}")
 
 
 @dataclass
@@ -211,14 +215,16 @@ class Layout:
         return sum(self.emit.get((state, k, v), self.floor) for k, v in enumerate(row))
 
 
-def seed_label(row: tuple) -> str:
-    """First label of a line for training, where its features leave no doubt."""
-    place, shape, repeated, width, end = row
+def seed_label(row: tuple) -> str | None:
+    """A line's first label for training, where its features leave no doubt; None where they do. Pages with such a line aren't trained on."""
+    place, form, marks, repeated, ends = row
     if place == "blank":
         return BREAK
-    if shape == "number":
+    if place in ("first", "last") and not ends.endswith("stop") and (form.endswith("roman") or form in ("most 0 other", "most 1 page", "most 3 page", "many 0 other")):
         return NUMBER
-    return HEADER if repeated and shape == "parted" and end != "stop" else BODY
+    if repeated and not ends.endswith("stop") and (not marks.startswith("none") or marks.endswith("all")):
+        return HEADER
+    return None if repeated else BODY
 
 
 def tally(rows: list[tuple], labels: list[str]) -> Counter:
@@ -238,8 +244,8 @@ def page_rows(text: str, repeated: set[int]) -> tuple[list[str], list[tuple]]:
 def fit_layout(pages: DataFrame, max_pages: int = MAX_TRAINING_PAGES) -> Layout:
     """Train on at most ``max_pages`` pages (those with the smallest hash of the id).
 
-    Seeded labels are counted, a model is fitted, and its own labels are counted once more;
-    both counts are made in the executors, and only sums over states and features return.
+    Seeded labels of the pages without doubtful lines are counted, a model is fitted, and its own labels of
+    all these pages are counted twice more; counts are made in the executors, and only sums over states and features return.
     """
     ids = pages.where("text IS NOT NULL").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages)
     sample = materialize(pages.where("text IS NOT NULL").join(F.broadcast(ids), "page_id", "left_semi").select("text", "repeated"), "p7-layout")
@@ -250,7 +256,9 @@ def fit_layout(pages: DataFrame, max_pages: int = MAX_TRAINING_PAGES) -> Layout:
             for pdf in batches:
                 for text, repeated in zip(pdf.text, pdf.repeated):
                     _, rows = page_rows(text, set(repeated if repeated is not None else ()))
-                    total += tally(rows, model.label(rows) if model else [seed_label(r) for r in rows])
+                    labels = model.label(rows) if model else [seed_label(r) for r in rows]
+                    if None not in labels:
+                        total += tally(rows, labels)
             yield pd.DataFrame([(repr(k), n) for k, n in total.items()], columns=["key", "n"])
 
         import ast
@@ -258,14 +266,15 @@ def fit_layout(pages: DataFrame, max_pages: int = MAX_TRAINING_PAGES) -> Layout:
         rows = sample.mapInPandas(skip_empty(run), "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect()
         return Counter({ast.literal_eval(r.key): r.n for r in rows})
 
-    base = tally(*_PRIOR)
-    return Layout.from_counts(counted(Layout.from_counts(counted(None) + base)) + base)
+    base = tally(page_rows(_PRIOR, {1})[1], [NUMBER, HEADER, BODY, BODY, BREAK, BODY, BODY, NUMBER])
+    model = Layout.from_counts(counted(None) + base)
+    for _ in range(2):
+        model = Layout.from_counts(counted(model) + base)
+    return model
 
 
-_PRIOR = (
-    [("first", "number", False, "short", "open"), ("first", "parted", True, "line", "open"), ("second", "plain", False, "line", "open"), ("inner", "plain", False, "line", "stop"), ("blank", "-", False, "-", "-"), ("inner", "plain", False, "line", "hyphen"), ("last", "plain", False, "short", "stop"), ("last", "number", False, "short", "open")],
-    [NUMBER, HEADER, BODY, BODY, BREAK, BODY, BODY, NUMBER],
-)
+#: One page by which a model has each state and step, even without a page to train on.
+_PRIOR = "- 7 -\nAny Works | Annual report\nThe first line of a paragraph, which goes on here\nand ends with a stop.\n\nAnother paragraph is bro-\nken at the end of its line.\n12"
 
 
 #: Words after a hyphen that stands for the rest of a compound (pre- and post-).
@@ -292,7 +301,8 @@ def joins(left: str, right: str, words: Words) -> str | None:
 def read_page(text: str, repeated: set[int], whole_page: bool, layout: Layout, words: Words) -> tuple[set[str], str]:
     """The kinds of noise in a text and the text repaired into paragraphs.
 
-    Headers and page numbers are only looked for on whole pages; their lines are dropped. A
+    Headers and page numbers are only looked for on whole pages; their lines are dropped. What looks like a header
+    is one if its heading is on another page of the document too. A
     blank line ends a paragraph if the line before it ends a sentence or the next one begins
     like one. Words broken over a line end are joined and misread words replaced, keeping
     their capitals. The empty text has no noise and stays empty.
@@ -303,8 +313,8 @@ def read_page(text: str, repeated: set[int], whole_page: bool, layout: Layout, w
     body: list[str] = []
     paragraphs: list[list[str]] = [[]]
     gap = False
-    for line, label in zip(lines, labels):
-        if label == HEADER:
+    for k, (line, label) in enumerate(zip(lines, labels)):
+        if label == HEADER and k in repeated:
             noise.add("running_header")
         elif label == NUMBER:
             noise.add("page_number")
@@ -358,7 +368,7 @@ def scan_fields(pages: DataFrame, doc_outputs: DataFrame) -> DataFrame:
                 lines = t.replace("\r\n", "\n").replace("\r", "\n").split("\n")
                 for k in edges("\n".join(lines)):
                     key = header_key(lines[k])
-                    if len(key) >= 8 and len(lines[k]) <= 200:
+                    if len(key) >= MIN_KEY:
                         rows.append((page, doc, pos, k, key))
             yield pd.DataFrame(rows, columns=["page_id", "document_id", "pos", "line", "key"])
 
