@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio_spark.session import materialize, table
 
 MIN_LETTERS, MIN_PAGES, MIN_SHARE_PCT = 8, 10, 5
+MAX_BROADCAST_ROWS = 500_000
 
 
 def lines(pages: DataFrame, min_letters: int = MIN_LETTERS) -> DataFrame:
@@ -24,8 +25,9 @@ def recurring(pages: DataFrame, min_letters: int = MIN_LETTERS, min_pages: int =
     """doc_title, page_id, line_no, key: every occurrence of a line that is on at least
     ``min_pages`` page rows and ``min_share_pct`` percent of all page rows of its title.
 
-    1. Lines are counted by title and key. The count of occurrences can't be below that of
-       pages, so what fails it can't recur; all but a few lines end here, after a map-side sum.
+    1. Lines are counted by hashes of title and key. The count of occurrences can't be below that of
+       pages, so what fails it can't recur; all but a few lines end here, after a map-side sum. Hashes that
+       clash only let more through. The few that are left are counted and, if few indeed, sent to the lines.
     2. Each written form (variant) of a remaining line gets a bitmap of its pages in chunks of
        32,768 page ids, compressed in shuffle and files; the bitmaps of all variants with one
        key are joined by OR, and their exact cardinalities are held against the thresholds.
@@ -37,21 +39,23 @@ def recurring(pages: DataFrame, min_letters: int = MIN_LETTERS, min_pages: int =
     """
     pages = pages.select("doc_title", "page_id", "text")
     rows = pages.groupBy("doc_title").agg(F.count("*").alias("page_rows"))
-    every = lines(pages.where("page_id IS NOT NULL"), min_letters)
-    often = every.groupBy("doc_title", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    often = often.alias("o").join(rows.alias("r"), F.expr("o.doc_title <=> r.doc_title")).where(f"o.n * 100 >= r.page_rows * {min_share_pct}")
-    often = often.selectExpr("o.doc_title", "o.key", "r.page_rows")
-    left = every.alias("l").join(often.alias("o"), F.expr("l.doc_title <=> o.doc_title AND l.key = o.key"))
-    left = materialize(left.selectExpr("l.doc_title", "l.key", "variant", "page_id", "line_no", "page_rows", "bitmap_bucket_number(page_id) AS chunk", "bitmap_bit_position(page_id) AS bit"), "p6-lines")
+    every = lines(pages.where("page_id IS NOT NULL"), min_letters).withColumns({"t": F.xxhash64("doc_title"), "h": F.xxhash64("key")})
+    often = every.groupBy("t", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    least = rows.groupBy(F.xxhash64("doc_title").alias("t")).agg(F.min("page_rows").alias("least"))
+    often = materialize(often.join(least, "t").where(f"n * 100 >= least * {min_share_pct}").select("t", "h"), "p6-often")
+    few = often.count() <= MAX_BROADCAST_ROWS
+    left = every.join(F.broadcast(often) if few else often, ["t", "h"], "left_semi").drop("t", "h")
+    left = materialize(left.selectExpr("doc_title", "key", "variant", "page_id", "line_no", "bitmap_bucket_number(page_id) AS chunk", "bitmap_bit_position(page_id) AS bit"), "p6-lines")
     chunk = ["doc_title", "key", "chunk"]
     maps = (
-        left.groupBy(*chunk, "variant").agg(F.bitmap_construct_agg("bit").alias("pages"), F.max("page_rows").alias("page_rows"))
-        .groupBy(*chunk).agg(F.bitmap_or_agg("pages").alias("pages"), F.max("page_rows").alias("page_rows"))
+        left.groupBy(*chunk, "variant").agg(F.bitmap_construct_agg("bit").alias("pages"))
+        .groupBy(*chunk).agg(F.bitmap_or_agg("pages").alias("pages"))
     )
     maps = materialize(maps, "p6-bitmaps")
     enough = (
-        maps.groupBy("doc_title", "key").agg(F.sum(F.bitmap_count("pages")).alias("n"), F.max("page_rows").alias("page_rows"))
-        .where(f"n >= {min_pages} AND n * 100 >= page_rows * {min_share_pct}").select("doc_title", "key")
+        maps.groupBy("doc_title", "key").agg(F.sum(F.bitmap_count("pages")).alias("n")).alias("m")
+        .join(rows.alias("r"), F.expr("m.doc_title <=> r.doc_title"))
+        .where(f"n >= {min_pages} AND n * 100 >= page_rows * {min_share_pct}").selectExpr("m.doc_title", "m.key")
     )
     kept = maps.alias("m").join(enough.alias("e"), F.expr("m.doc_title <=> e.doc_title AND m.key = e.key")).selectExpr("m.doc_title", "m.key", "m.chunk", "m.pages")
     bit = "bit_get(cast(conv(hex(substring(k.pages, cast(l.bit div 8 as int) + 1, 1)), 16, 10) as bigint), cast(l.bit % 8 as int)) = 1"
