@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from folio_spark.session import materialize, most_frequent, skip_empty, table
 
 MAX_WORDS, MIN_WORD_COUNT, MAX_TRAINING_PAGES, MIN_KEY = 200_000, 3, 2000, 4
+ROWS_PER_TASK, MAX_TASKS = 2000, 10_000
 HEADER, NUMBER, BODY, BREAK = "header", "number", "body", "break"
 STATES = (HEADER, NUMBER, BODY, BREAK)
 HYPHENS = "-‐­¬‑"
@@ -400,7 +401,9 @@ def read_scans(pages: DataFrame, doc_outputs: DataFrame) -> DataFrame:
             found = [read_page(t, set(r if r is not None else ()), f == "text", layout, words) for t, r, f in zip(pdf.text, pdf.repeated, pdf.field_name)]
             yield pd.DataFrame({"page_id": pdf.page_id, "field_name": pdf.field_name, "noise": [sorted(n) for n, _ in found], "repaired": [t for _, t in found]})
 
-    return fields.mapInPandas(skip_empty(read), "page_id bigint, field_name string, noise array<string>, repaired string")
+    # Reading is long for its bytes: tasks of equal numbers of rows, whatever files they lie in.
+    parts = min(MAX_TASKS, max(2 * fields.sparkSession.sparkContext.defaultParallelism, fields.count() // ROWS_PER_TASK))
+    return fields.repartition(parts, "page_id", "field_name").mapInPandas(skip_empty(read), "page_id bigint, field_name string, noise array<string>, repaired string")
 
 
 def _read(spark: SparkSession, root: str) -> DataFrame:
