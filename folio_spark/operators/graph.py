@@ -2,8 +2,7 @@
 
 All pairs of a document's entities grow with the square of its size, and one document may
 hold a third of all pages. So all pairs of a document are made in cells that are spread over
-tasks, and ``draw`` takes as many as are wanted. ``document_pairs`` is a cheap draw of its own: each
-entity with the next ``reach`` in the order of a hash, never more than ``reach`` per entity.
+tasks, and ``draw`` takes as many as are wanted.
 """
 
 from __future__ import annotations
@@ -12,8 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio_spark.functions.text import normalize_entity
+from folio_spark.session import materialize, numbered
 
-REACH, CELLS = 4, 8
+CELLS = 8
 
 
 def mentions(pages: DataFrame) -> DataFrame:
@@ -38,33 +38,7 @@ def page_pairs(pages: DataFrame) -> DataFrame:
     return at.select("a", F.explode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("pages"))
 
 
-def page_triples(pages: DataFrame) -> DataFrame:
-    """a, b, c (in order), pages: triples of entities on one page."""
-    at = _sets(pages).select(F.posexplode("e").alias("i", "a"), "e")
-    two = at.select("a", "e", F.posexplode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("j", "b"), "i")
-    three = two.select("a", "b", F.explode(F.slice("e", F.col("i") + F.col("j") + 3, F.size("e"))).alias("c"))
-    return three.groupBy("a", "b", "c").agg(F.count("*").alias("pages"))
-
-
-def document_pairs(pages: DataFrame, reach: int = REACH, seed: str = "pairs") -> DataFrame:
-    """a, b (a < b): pairs of entities of one document that are on no page together; ``reach`` partners per entity."""
-    own = mentions(pages).select("document_id", "entity").distinct()
-    order = Window.partitionBy("document_id").orderBy(F.sha2(F.concat(F.lit(seed), "entity"), 256), "entity")
-    ring = own.select("entity", F.array(*[F.lead("entity", k).over(order) for k in range(1, reach + 1)]).alias("next"))
-    pairs = ring.select("entity", F.explode(F.filter("next", lambda x: x.isNotNull())).alias("other"))
-    pairs = pairs.select(F.least("entity", "other").alias("a"), F.greatest("entity", "other").alias("b")).distinct()
-    return pairs.join(page_pairs(pages).select("a", "b"), ["a", "b"], "left_anti")
-
-
-def pair_material(pages: DataFrame, most: int = 4) -> DataFrame:
-    """a, b, page_id, place: for every pair on a common page, its first ``most`` common pages by id."""
-    at = _sets(pages).select("page_id", F.posexplode("e").alias("i", "a"), "e")
-    pairs = at.select("a", F.explode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("b"), "page_id")
-    order = Window.partitionBy("a", "b").orderBy("page_id")
-    return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
-
-
-def all_document_pairs(pages: DataFrame, cells: int = CELLS) -> DataFrame:
+def document_pairs(pages: DataFrame, cells: int = CELLS) -> DataFrame:
     """a, b (a < b): all pairs of entities of one document that are on no page together.
 
     The pairs of a document are made in ``cells`` times ``cells`` cells by entity hash, so that a large one is spread over tasks.
@@ -84,13 +58,31 @@ def document_triples(pages: DataFrame) -> DataFrame:
     return two.join(own.withColumnRenamed("entity", "c"), "document_id").where("b < c").select("a", "b", "c").distinct()
 
 
-def cross_pairs(pages: DataFrame) -> DataFrame:
-    """a, b (a < b): all pairs of entities on two or more pages each that have no page and no document in common."""
-    often = postings(pages).where("pages >= 2").select("entity")
-    pairs = often.select(F.col("entity").alias("a")).crossJoin(often.select(F.col("entity").alias("b"))).where("a < b")
-    own = mentions(pages).select("document_id", "entity").distinct()
-    together = own.withColumnRenamed("entity", "a").join(own.withColumnRenamed("entity", "b"), "document_id").where("a < b").select("a", "b").distinct()
-    return pairs.join(together, ["a", "b"], "left_anti").join(page_pairs(pages).select("a", "b"), ["a", "b"], "left_anti")
+def cross_pairs(pages: DataFrame, n: int, seed: str = "cross") -> DataFrame:
+    """a, b (a < b), apart: ``n`` pairs of entities on two or more pages each that have no document in common, or all if there are fewer.
+
+    Entities stand in a ring in the order of a hash. Pairs are drawn by how far apart they stand, the nearest first, then by the place of
+    the first; as many distances are tried, in blocks that double, as it takes to find ``n``. Only pairs that are
+    drawn are looked up for a document in common: no step pairs all with all.
+    """
+    often = postings(pages).where("pages >= 2").select("entity").withColumn("_o", F.sha2(F.concat(F.lit(seed), "entity"), 256))
+    ring = materialize(numbered(often, ["_o", "entity"], "at").select("entity", "at"), "ring")
+    own = materialize(mentions(pages).select("document_id", "entity").where("document_id IS NOT NULL").distinct(), "ring-documents")
+    size = ring.count()
+    found, lo, width = None, 1, 4
+    while lo <= size // 2 or found is None:
+        hi = min(lo + width - 1, max(1, size // 2))
+        step = ring.select(F.col("entity").alias("x"), "at", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("apart")).withColumn("to", F.expr(f"(at + apart) % {max(1, size)}"))
+        step = step.where(f"2 * apart < {size} OR (2 * apart = {size} AND at < to)")
+        pairs = step.join(ring.select(F.col("entity").alias("y"), F.col("at").alias("to")), "to").select("x", "y", "at", "apart")
+        common = pairs.join(own.withColumnRenamed("entity", "x"), "x").join(own.withColumnRenamed("entity", "y"), ["document_id", "y"], "left_semi").select("x", "y").distinct()
+        new = materialize(pairs.join(common, ["x", "y"], "left_anti"), "ring-pairs")
+        found = new if found is None else found.unionByName(new)
+        lo, width = hi + 1, width * 2
+        if found.count() >= n:
+            break
+    drawn = found.orderBy("apart", "at").limit(n)
+    return drawn.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.col("apart").cast("int").alias("apart"))
 
 
 def draw(tuples: DataFrame, n: int, seed: str = "draw") -> DataFrame:

@@ -55,7 +55,7 @@ def _wanted(s, r):
 
 def _tuples(pages):
     """a, b, c: 200 drawn pairs of one document and 200 drawn triples."""
-    pairs = graph.draw(graph.all_document_pairs(pages), 200).withColumn("c", F.lit(None).cast("string"))
+    pairs = graph.draw(graph.document_pairs(pages), 200).withColumn("c", F.lit(None).cast("string"))
     return pairs.unionByName(graph.draw(graph.document_triples(pages), 200))
 
 
@@ -69,12 +69,9 @@ QUERIES = {
     "cache_miss": lambda s, r: corpus.cache_lookup(_wanted(s, r), _runs(s, r)).where("run_id IS NULL").select("input_sha256", "config_hash"),
     "entity_postings": lambda s, r: graph.postings(_pages(s, r)),
     "entity_pairs_same_page": lambda s, r: graph.page_pairs(_pages(s, r)),
-    "entity_triples_same_page": lambda s, r: graph.page_triples(_pages(s, r)),
     "entity_pairs_same_document": lambda s, r: graph.document_pairs(_pages(s, r)),
-    "entity_material": lambda s, r: graph.pair_material(_pages(s, r)),
-    "entity_pairs_document_all": lambda s, r: graph.all_document_pairs(_pages(s, r)),
     "entity_triples_document": lambda s, r: graph.document_triples(_pages(s, r)),
-    "entity_pairs_cross": lambda s, r: graph.cross_pairs(_pages(s, r)),
+    "entity_pairs_cross": lambda s, r: graph.cross_pairs(_pages(s, r), 500),
     "entity_tuple_material": lambda s, r: graph.tuple_material(_pages(s, r), _tuples(_pages(s, r))),
     "structure_items": lambda s, r: synth.structure_items(corpus.kept(_pages(s, r))),
     "work_items_remaining": _work_left,
@@ -138,14 +135,11 @@ SQL = {
     "cache_miss": f"SELECT input_sha256, config_hash FROM ({_CACHE}) WHERE run_id IS NULL",
     "entity_postings": f"SELECT entity, count(*) AS pages, count(DISTINCT document_id) AS documents FROM ({_MENTIONS}) GROUP BY entity",
     "entity_pairs_same_page": f"WITH m AS ({_MENTIONS}) SELECT a, b, count(*) AS pages FROM ({_PAIRS}) GROUP BY a, b",
-    "entity_triples_same_page": f"WITH m AS ({_MENTIONS}) SELECT a, b, z.entity AS c, count(*) AS pages FROM ({_PAIRS}) p JOIN m z ON z.page_id = p.page_id AND z.entity > p.b GROUP BY a, b, c",
-    "entity_pairs_same_document": f"""WITH m AS ({_MENTIONS}), own AS (SELECT DISTINCT document_id, entity FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY sha256('pairs' || entity), entity) AS n FROM own)
- SELECT DISTINCT least(x.entity, y.entity) AS a, greatest(x.entity, y.entity) AS b FROM r x JOIN r y ON x.document_id = y.document_id AND y.n > x.n AND y.n <= x.n + 4 EXCEPT SELECT a, b FROM ({_PAIRS})""",
-    "entity_material": f"WITH m AS ({_MENTIONS}) SELECT a, b, page_id, CAST(row_number() OVER (PARTITION BY a, b ORDER BY page_id) AS INTEGER) AS place FROM ({_PAIRS}) QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY page_id) <= 4",
-    "entity_pairs_document_all": f"WITH m AS ({_MENTIONS}) {_ALL_PAIRS}",
+    "entity_pairs_same_document": f"WITH m AS ({_MENTIONS}) {_ALL_PAIRS}",
     "entity_triples_document": f"WITH {_OWN} {_ALL_TRIPLES}",
-    "entity_pairs_cross": f"""WITH {_OWN}, e AS (SELECT entity FROM m GROUP BY entity HAVING count(*) >= 2) SELECT x.entity AS a, y.entity AS b FROM e x JOIN e y ON x.entity < y.entity
- WHERE NOT EXISTS (SELECT 1 FROM o p JOIN o q ON p.document_id = q.document_id WHERE p.entity = x.entity AND q.entity = y.entity) EXCEPT SELECT a, b FROM ({_PAIRS})""",
+    "entity_pairs_cross": f"""WITH {_OWN}, e AS (SELECT entity, row_number() OVER (ORDER BY sha256('cross' || entity), entity) - 1 AS spot FROM (SELECT entity FROM m GROUP BY entity HAVING count(*) >= 2)), z AS (SELECT count(*) AS n FROM e),
+ p AS (SELECT x.entity AS x, y.entity AS y, x.spot AS spot, (y.spot - x.spot + n) % n AS apart FROM e x, e y, z WHERE x.spot <> y.spot AND (2 * ((y.spot - x.spot + n) % n) < n OR (2 * ((y.spot - x.spot + n) % n) = n AND x.spot < y.spot)))
+ SELECT least(x, y) AS a, greatest(x, y) AS b, CAST(apart AS INTEGER) AS apart FROM (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM o q JOIN o r ON q.document_id = r.document_id WHERE q.entity = p.x AND r.entity = p.y) ORDER BY apart, spot LIMIT 500)""",
     "entity_tuple_material": f"""WITH {_OWN}, t AS (SELECT * FROM (SELECT a, b, NULL::VARCHAR AS c FROM ({_ALL_PAIRS}) ORDER BY sha256(concat_ws('|', 'draw', a, b)), a, b LIMIT 200) UNION ALL SELECT * FROM (SELECT * FROM ({_ALL_TRIPLES}) ORDER BY sha256(concat_ws('|', 'draw', a, b, c)), a, b, c LIMIT 200)),
  h AS (SELECT t.*, CASE WHEN t.c IS NULL THEN 2 ELSE 3 END AS k, m.* FROM t JOIN m ON m.entity IN (t.a, t.b, t.c)), d AS (SELECT a, b, c, document_id, count(DISTINCT entity) AS shared FROM h GROUP BY ALL),
  p AS (SELECT a, b, c, k, page_id, document_id, count(DISTINCT entity) AS n FROM h GROUP BY ALL), q AS (SELECT p.*, max(n) OVER (PARTITION BY p.a, p.b, p.c) AS top, shared FROM p JOIN d ON p.a = d.a AND p.b = d.b AND p.c IS NOT DISTINCT FROM d.c AND p.document_id IS NOT DISTINCT FROM d.document_id)

@@ -39,7 +39,7 @@ QUERIES = {
     "runs_newest": lambda s, r: jobs.newest_first(table(s, r, "runs"), 20),
     "run_totals": lambda s, r: jobs.totals(table(s, r, "runs")),
     "run_inputs": lambda s, r: table(s, r, "runs").groupBy(F.regexp_extract("input_path", r"\.([^./]+)$", 1).alias("kind")).agg(F.count("*").alias("runs"), F.sum("page_count").alias("pages"), F.max("duration_ms").alias("longest_ms")),
-    "queue_order": lambda s, r: jobs.queue_order(job_rows(s, r)).select("job_id", "queued_at").limit(500),
+    "queue_order": lambda s, r: jobs.queue_order(job_rows(s, r)).select("job_id", "queued_at"),
     "queue_places": lambda s, r: jobs.queue_places(job_rows(s, r)).select("job_id", "queued_at", "place"),
     "job_statuses": lambda s, r: jobs.statuses(job_rows(s, r)).select("job_id", "status"),
     "job_status_totals": lambda s, r: jobs.totals(job_rows(s, r)),
@@ -63,7 +63,7 @@ SQL = {
     "runs_newest": "SELECT * FROM (SELECT DISTINCT run_id, run_ts, input_path, status FROM runs) ORDER BY run_ts DESC, run_id, status, input_path LIMIT 20",
     "run_totals": f"SELECT {_TOTALS} FROM runs",
     "run_inputs": "SELECT regexp_extract(input_path, '\\.([^./]+)$', 1) AS kind, count(*) AS runs, CAST(sum(page_count) AS BIGINT) AS pages, max(duration_ms) AS longest_ms FROM runs GROUP BY 1",
-    "queue_order": f"SELECT job_id, queued_at FROM ({_JOBS}) WHERE status = 'queued' ORDER BY coalesce(queued_at, created_at), created_at, job_id LIMIT 500",
+    "queue_order": f"SELECT job_id, queued_at FROM ({_JOBS}) WHERE status = 'queued' ORDER BY coalesce(queued_at, created_at), created_at, job_id",
     "queue_places": f"SELECT job_id, queued_at, CAST(row_number() OVER (ORDER BY coalesce(queued_at, created_at), created_at, job_id) AS INTEGER) AS place FROM ({_JOBS}) WHERE status = 'queued'",
     "job_statuses": f"SELECT job_id, status FROM ({_JOBS}) WHERE status NOT IN ('completed', 'failed', 'canceled') UNION ALL SELECT job_id, status FROM (SELECT * FROM ({_JOBS}) WHERE status IN ('completed', 'failed', 'canceled') ORDER BY completed_at DESC, job_id LIMIT 5)",
     "job_status_totals": f"SELECT {_TOTALS} FROM ({_JOBS})",
