@@ -186,10 +186,75 @@ def _stages(s, r):
     return at.groupBy("x.stage").agg(F.count("*").alias("documents"), F.sum("x.m.pages_processed").alias("pages"), F.sum("x.m.tokens").alias("tokens"), F.sum("x.m.total_attempts").alias("attempts"), F.floor(F.sum("x.m.avg_relevancy") / F.count("x.m.avg_relevancy")).alias("avg_relevancy"))
 
 
+def _plain_seeds(s, r):
+    return corpus.seeds(_pages(s, r), _outputs(s, r), _runs(s, r))
+
+
+def _made(items, kind, parse=None):
+    from folio_spark.operators import generate as G
+    from folio_spark.session import materialize
+
+    items = materialize(items, "items")
+    return items, materialize(G.ask(items, G.Echo(), kind, parse), "answers")
+
+
+def _rephrased(s, r):
+    from folio_spark.operators import generate as G
+
+    return G.passages(*_made(G.rephrase_items(G.once(_plain_seeds(s, r)), 2), "passage")).select("key", "style", "text", "reject_reason")
+
+
+def _tuple_passages(s, r):
+    from folio_spark.operators import generate as G
+
+    made = G.passages(*_made(G.tuple_items(_pages(s, r), _plain_seeds(s, r), 200, 100), "passage"))
+    return made.select("key", "kind", F.size("entities").alias("n"), F.regexp_count("text", F.lit("\n---\n")).alias("breaks"))
+
+
+def _asked(s, r):
+    from folio_spark.operators import generate as G
+
+    made = G.qa_records(*_made(G.qa_items(G.once(_plain_seeds(s, r))), "qa", G.pairs_of), "sys", "echo")
+    return made.select("key", "qhash", synth.message("assistant").alias("answer"))
+
+
+def _seen(s, r):
+    from folio_spark.operators import generate as G
+
+    return G.vision_records(*_made(G.vision_prompts(G.once(_plain_seeds(s, r))), "vision", G.passages_of), min_words=5).select("key", "batch_key", "text")
+
+
+def _judged(s, r):
+    from folio_spark.operators import generate as G
+
+    return G.judged(*_made(G.judge_items(_sft(s, r), _plain_seeds(s, r)), "judge", G.scores_of), "echo").select("pair_id", "key", "judge.groundedness", "judge.clarity", "judge.usefulness")
+
+
+def _manifest(s, r):
+    from folio_spark.operators import generate as G
+
+    items, answers = _made(G.rephrase_items(G.once(_plain_seeds(s, r)), 2), "passage")
+    row = G.manifest(G.passages(items, answers), G.failures(items, answers, "rephrase", "echo"), items.count())
+    return row.select(F.col("counts_by_kind")["rephrase"].alias("kept"), "rejected_count", "failed_count", "total")
+
+
+QUERIES |= {
+    "generate_rephrased": _rephrased, "generate_tuple_passages": _tuple_passages, "generate_questions": _asked, "generate_vision_passages": _seen, "generate_judged": _judged, "generate_manifest": _manifest,
+}
 QUERIES |= {"summarize_passthrough": _passthrough, "summarize_stub_loop": _stub, "stage_metrics": _stages}
 _FIRST_LINE = f"list_filter(list_transform(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)), lambda x: {S.strip('x')}), lambda x: x <> '')[1]"
 _STAGE = "SELECT '{0}' AS stage, metrics.stages.{0} AS m FROM doc_outputs WHERE metrics.stages.{0} IS NOT NULL"
+_ONCE = f"""SELECT document_id, page_number, arg_max(sd, page_id) AS sd FROM (SELECT s.page_id, s.document_id, s.page_number, struct_pack(id := s.page_id, filename := s.filename, text := p.text, tables_md := s.tables_md, visual_text := s.visual_text, notes := p.summary_notes, topics := p.summary_topics) AS sd FROM ({SQL['seeds']}) s JOIN pages p ON p.page_id = s.page_id) GROUP BY ALL"""
+_FULL = "array_to_string(list_filter([coalesce(sd.{0}, ''), coalesce(sd.{1}, ''), coalesce(sd.{2}, '')], lambda x: x <> ''), chr(10) || chr(10))"
+_REPHRASE = f"""SELECT 'rephrase:' || document_id || ':' || page_number || ':' || style AS key, style, {S.strip('left(' + _FULL.format('text', 'tables_md', 'visual_text') + ', 4000)')} AS text
+ FROM (SELECT *, unnest(list_transform(list_sort(list_transform([{_STYLES}], lambda x: struct_pack(o := sha256(sd.id || '|' || x), s := x)))[1:2], lambda x: x.s)) AS style FROM ({_ONCE}))"""
 SQL |= {
+    "generate_rephrased": f"SELECT *, CASE WHEN {S.words('text')} < 50 THEN 'rejected: output under 50 words' END AS reject_reason FROM ({_REPHRASE})",
+    "generate_questions": f"""WITH q AS (SELECT 'qa:' || document_id || ':' || page_number AS key, k, note, sha256(regexp_replace(lower('What follows from this: ' || note), '[^\p{{L}}\p{{N}}\p{{M}}_]', '', 'g')) AS qhash
+ FROM (SELECT *, {S.strip('n')} AS note FROM (SELECT document_id, page_number, unnest(string_split(array_to_string(list_transform(sd.notes, lambda x: '- ' || x), chr(10)), chr(10))) AS line, generate_subscripts(string_split(array_to_string(list_transform(sd.notes, lambda x: '- ' || x), chr(10)), chr(10)), 1) AS k FROM ({_ONCE})) l, (SELECT 1) one, LATERAL (SELECT substr(l.line, 3) AS n) s WHERE starts_with(l.line, '- ')) WHERE {S.words('note')} >= 10)
+ SELECT key, qhash, note AS answer FROM q QUALIFY row_number() OVER (PARTITION BY qhash ORDER BY key, k) = 1""",
+    "generate_judged": "SELECT pair_id, 'judge:' || coalesce(document_id, '') || ':' || coalesce(CAST(n AS VARCHAR), '') || ':' || (spot // 15) AS key, 8 AS groundedness, 7 AS clarity, CAST(8 - (spot % 15 + 1) % 2 AS INTEGER) AS usefulness FROM (SELECT pair_id, _source.document_id AS document_id, _source.page_number AS n, row_number() OVER (PARTITION BY _source.document_id, _source.page_number ORDER BY pair_id) - 1 AS spot FROM sft)",
+    "generate_manifest": f"SELECT count(*) FILTER ({S.words('text')} >= 50) AS kept, count(*) FILTER ({S.words('text')} < 50) AS rejected_count, 0 AS failed_count, count(*) AS total FROM ({_REPHRASE})",
     "summarize_passthrough": f"SELECT page_id, coalesce({_FIRST_LINE}, '') AS notes, 100 AS relevancy, false AS validated FROM pages",
     "stage_metrics": "SELECT stage, count(*) AS documents, CAST(sum(m.pages_processed) AS BIGINT) AS pages, CAST(sum(m.tokens) AS BIGINT) AS tokens, CAST(sum(m.total_attempts) AS BIGINT) AS attempts, CAST(floor(avg(m.avg_relevancy)) AS BIGINT) AS avg_relevancy FROM (" + " UNION ALL ".join(_STAGE.format(k) for k in ("extraction", "vision", "summarization")) + ") GROUP BY stage",
 }
