@@ -30,6 +30,26 @@ def log_rows(spark, root):
     )
 
 
+def _history(spark, root):
+    """Jobs with what they carry themselves: every finished one an output, failed ones an error."""
+    own = F.when(F.col("status") == "completed", F.concat(F.lit("own "), F.col("job_id").cast("string")))
+    return job_rows(spark, root).select("job_id", "status", F.when(F.col("status") == "failed", "bad input").alias("error"), own.alias("output"))
+
+
+def _history_outputs(spark, root):
+    """Output files of the completed jobs whose customer's balance is not negative."""
+    paid = table(spark, root, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"))
+    done = table(spark, root, "orders").where("o_orderstatus = 'F' AND o_orderkey % 3 <> 0").join(paid, "o_custkey", "left_semi")
+    return done.select(F.col("o_orderkey").alias("job_id"), F.concat(F.lit("file "), F.col("o_orderkey").cast("string")).alias("output"))
+
+
+def _progress(spark, root):
+    """A progress line for every page, and a line that is none."""
+    pages = table(spark, root, "pages")
+    at = F.concat(F.lit("[2/3] vision "), (F.col("pos") + 1).cast("string"), F.lit("/"), (F.col("pos") + 5).cast("string"), F.lit(" "), (F.col("pos") % 100).cast("string"), F.lit("% Reading "), F.coalesce("doc_title", F.lit("")))
+    return pages.select("page_id", at.alias("line")).unionByName(pages.select("page_id", F.lit("vision: 4/10").alias("line")))
+
+
 def _secret_fields():
     """Fields with secrets at several depths: in members of secret names, after words that announce them, and bare."""
     return F.concat(F.lit('{"event":'), F.col("seq").cast("string"), F.lit(',"by":{"api-key":{"id":7},"note":"password: hunter2 ok"},"all":["xoxb-kept","xoxb-'), F.lpad(F.col("seq").cast("string"), 14, "0"), F.lit('"]}'))
@@ -44,6 +64,10 @@ QUERIES = {
     "job_statuses": lambda s, r: jobs.statuses(job_rows(s, r)).select("job_id", "status"),
     "job_status_totals": lambda s, r: jobs.totals(job_rows(s, r)),
     "new_jobs": lambda s, r: jobs.new_jobs(job_rows(s, r), job_rows(s, r).where("job_id % 10 <> 0")).select("job_id", "status"),
+    "history_repaired": lambda s, r: jobs.repaired(_history(s, r), _history_outputs(s, r)).select("job_id", "status", "error", "output", "migrate"),
+    "progress_lines": lambda s, r: jobs.progress_lines(_progress(s, r)).drop("line"),
+    "run_manifest": lambda s, r: jobs.run_manifest(table(s, r, "runs")).select("backend", F.col("totals")["completed"].alias("completed"), "runs", "pages", "wall_clock_ms"),
+    "shown_durations": lambda s, r: table(s, r, "runs").select("duration_ms", jobs.shown_duration(F.col("duration_ms")).alias("shown")).distinct(),
     "job_durations": lambda s, r: job_rows(s, r).where("completed_at IS NOT NULL").select("job_id", jobs.duration_ms("created_at", "completed_at").alias("ms")),
     "log_levels": lambda s, r: log_rows(s, r).groupBy("level", "stage").agg(F.count("*").alias("events")),
     "log_filter": lambda s, r: log_rows(s, r).where(logs.matches(level="error", job="job/1", text="did ERROR")).select("seq", "level", "job_id"),
@@ -68,6 +92,13 @@ SQL = {
     "job_statuses": f"SELECT job_id, status FROM ({_JOBS}) WHERE status NOT IN ('completed', 'failed', 'canceled') UNION ALL SELECT job_id, status FROM (SELECT * FROM ({_JOBS}) WHERE status IN ('completed', 'failed', 'canceled') ORDER BY completed_at DESC, job_id LIMIT 5)",
     "job_status_totals": f"SELECT {_TOTALS} FROM ({_JOBS})",
     "new_jobs": f"SELECT job_id, status FROM ({_JOBS}) WHERE job_id % 10 = 0",
+    "history_repaired": f"""SELECT j.job_id, CASE j.status WHEN 'processing' THEN 'canceled' ELSE j.status END AS status, CASE j.status WHEN 'processing' THEN '{jobs.CLOSED}' WHEN 'failed' THEN 'bad input' END AS error,
+ CASE WHEN j.status = 'completed' THEN CASE WHEN c_acctbal >= 0 THEN 'file ' || job_id ELSE 'own ' || job_id END END AS output, coalesce(j.status = 'completed' AND NOT coalesce(c_acctbal >= 0, false), false) AS migrate
+ FROM ({_JOBS}) j JOIN orders o ON o.o_orderkey = j.job_id LEFT JOIN customer c ON c.c_custkey = o.o_custkey""",
+    "progress_lines": "SELECT page_id, 2 AS stage_index, 3 AS total_stages, 'vision' AS stage, pos + 1 AS page, pos + 5 AS total_pages, pos % 100 AS progress, 'Reading ' || coalesce(doc_title, '') AS message FROM pages",
+    "run_manifest": "SELECT backend, nullif(count(*) FILTER (status = 'completed'), 0) AS completed, count(*) AS runs, CAST(sum(page_count) AS BIGINT) AS pages, epoch_ms(max(run_ts + to_milliseconds(coalesce(duration_ms, 0)))) - epoch_ms(min(run_ts)) AS wall_clock_ms FROM runs GROUP BY backend",
+    "shown_durations": """SELECT DISTINCT duration_ms, CASE WHEN duration_ms < 1000 THEN duration_ms || ' ms' WHEN duration_ms < 60000 THEN printf('%.1f s', duration_ms / 1000) WHEN duration_ms < 3600000 THEN printf('%dm %02ds', duration_ms // 60000, duration_ms // 1000 % 60)
+ ELSE printf('%dh %02dm', duration_ms // 3600000, duration_ms // 60000 % 60) END AS shown FROM runs""",
     "job_durations": f"SELECT job_id, greatest(0, epoch_ms(completed_at) - epoch_ms(created_at)) AS ms FROM ({_JOBS}) WHERE completed_at IS NOT NULL",
     "log_levels": f"SELECT level, stage, count(*) AS events FROM ({_LOGS}) GROUP BY level, stage",
     "log_filter": f"SELECT seq, level, job_id FROM ({_LOGS}) WHERE level = 'error' AND contains(job_id, 'job/1') AND contains(lower(message), 'did error')",

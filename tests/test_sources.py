@@ -1,3 +1,4 @@
+import base64
 import io
 import json
 import struct
@@ -5,6 +6,7 @@ import zipfile
 
 import pytest
 
+from folio_spark.config import PipelineConfig
 from folio_spark.sources import documents as D
 from folio_spark.sources import results as R
 from folio_spark.sources.opc import Package, PackageError, pixels, resolve
@@ -48,6 +50,36 @@ def test_docx_page_breaks_collapse():
     assert [t for t, *_ in D.docx_pages(docx(p("one") + br + br + p("two") + br), 3000, 80)] == ["[Header] Top\n\none", "two"]
 
 
+def test_docx_lists_images_sections_and_merged_cells():
+    item = lambda t, n, level=0: f'<w:p><w:pPr><w:numPr><w:ilvl w:val="{level}"/><w:numId w:val="{n}"/></w:numPr></w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>'
+    picture = '<w:p><w:r><w:t>See</w:t></w:r><w:r><w:drawing><docPr descr="a map"/><a:blip r:embed="i1"/></w:drawing></w:r><w:r><w:drawing><a:blip r:embed="i2"/><a:blip r:embed="i3"/></w:drawing></w:r></w:p>'.replace("docPr", "w:docPr")
+    cell = lambda t, m: f'<w:tc><w:tcPr>{m}</w:tcPr><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>'
+    table = f"<w:tbl><w:tr>{cell('x', '')}</w:tr><w:tr>{cell('', '<w:vMerge/>')}{cell('y', '')}</w:tr></w:tbl>"
+    body = item("one", 1) + item("two", 2, 1) + item("three", 9) + picture + table + "<w:sectPr/>"
+    png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + struct.pack(">II", 4, 4)
+    image = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/image"
+    data = package({
+        "word/document.xml": f"<w:document {W} {A}><w:body>{body}</w:body></w:document>",
+        "word/numbering.xml": f'<w:numbering {W}><w:abstractNum w:abstractNumId="5"><w:lvl w:ilvl="0"><w:numFmt w:val="decimal"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="5"/></w:num></w:numbering>',
+        "word/_rels/document.xml.rels": RELS.format(f'<Relationship Id="i1" Type="{image}" Target="media/m.png"/><Relationship Id="i2" Type="{image}" Target="http://x/y.png" TargetMode="External"/><Relationship Id="i3" Type="{image}" Target="media/none.gif"/>'),
+        "word/media/m.png": png, "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="png" ContentType="image/png"/></Types>',
+    })
+    (text, tables, _, first, shown), = D.docx_pages(data, 3000, 80)
+    assert text == "1. one\n\n  - two\n\n- three\n\nSee\n\n[Image: a map]\n\n[Image: none.gif]\n\nx\n | y\n\n[Section break]" and tables == [[["x"], ["", "y"]]]
+    assert [(i["id"], i["relationship_id"], i["content_type"], i["filename"], i["alt_text"], i["base64"]) for i in shown] == [("image_1", "i1", "image/png", "m.png", "a map", None), ("image_2", "i3", None, "none.gif", None, None)]
+    assert first == base64.b64encode(png).decode()
+    assert D.docx_pages(data, 3000, 80, PipelineConfig(keep_base64_images=True))[0][4][0]["base64"] == first
+    text, tables, _, first, shown = D.docx_pages(data, 3000, 80, PipelineConfig(text_only=True))[0]
+    assert text == "1. one\n\n  - two\n\n- three\n\nSee\n\n[Section break]" and not (tables or first or shown)
+
+
+def test_pptx_flags():
+    data = package(slides())
+    whole, notes, tables = (D.pptx_pages(data, 3000, 80, PipelineConfig(**c)) for c in ({}, {"skip_tables": True}, {"skip_pptx_tables": True}))
+    assert any(p[1] for p in whole) and [p[1] for p in notes] == [p[1] for p in whole] and not any(p[1] for p in tables)
+    assert any("[Speaker Notes]" in p[0] for p in tables) and not any("[Speaker Notes]" in p[0] for p in notes)
+
+
 def slides():
     cell = lambda t, m="": f"<a:tc><a:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></a:txBody><a:tcPr{m}/></a:tc>"
     table = f"<a:tbl><a:tr>{cell('x')}{cell('y')}</a:tr><a:tr>{cell('1')}{cell('', ' hMerge=' + chr(34) + '1' + chr(34))}</a:tr></a:tbl>"
@@ -97,8 +129,11 @@ def test_folder_of_files(spark, tmp_path):
     assert [r.text for r in by["a.TXT"]] == ["Alpha.", "Beta.", "Gamma.", "Delta."] and by["a.TXT"][0].total_pages == 4
     assert [r.text for r in by["b.md"]] == [""] and len(by["f.pptx"]) == 2
     assert by["c.bin"][0].error.startswith("no reader") and by["d.pdf"][0].error == "no reader for pdf" and by["g.docx"][0].error.startswith("PackageError")
-    picked = D.select_pages(D.read_documents(spark, str(tmp_path / "a.TXT"), 7, 0), [3, 4, 9]).orderBy("page_number").collect()
-    assert [(r.page_number, list(r.extraction_warnings)) for r in picked] == [(3, ["page_range_clipped"]), (4, [])]
+    picked = D.select_pages(D.read_documents(spark, str(tmp_path / "a.TXT"), 7, 0), "3-4,9").orderBy("page_number").collect()
+    said = "page_range '3-4,9' was clipped to the document's 4 pages"
+    assert [(r.page_number, list(r.extraction_warnings)) for r in picked] == [(3, [said]), (4, [])]
+    config = PipelineConfig(page_range="3-4,9")
+    assert [(r.page_number, list(r.extraction_warnings), r.total_pages) for r in D.read_documents(spark, str(tmp_path / "a.TXT"), 7, 0, config=config).orderBy("page_number").collect()] == [(3, [said], 4), (4, [], 4)]
     plugged = D.read_documents(spark, str(tmp_path / "d.pdf"), readers={"pdf": lambda data, size, overlap: [(data.decode(), [], [], None)]}).collect()
     assert [r.text for r in plugged] == ["x"]
 
