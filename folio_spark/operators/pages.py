@@ -65,6 +65,11 @@ class PagesFrame:
     def summary(self) -> DataFrame:
         return self.pages.select("page_id", "document_id", P.effective_page_number().alias("page_number"), P.first_description().alias("description"))
 
+    def documents(self, doc_outputs: DataFrame) -> DataFrame:
+        """document_id, filename, total_pages, metadata, metrics of the documents of these pages; what a summary says of them before its pages."""
+        wanted = self.pages.select("document_id").distinct()
+        return doc_outputs.join(wanted, "document_id", "left_semi").select("document_id", "filename", "total_pages", F.coalesce("metadata", F.lit("{}")).alias("metadata"), F.to_json("metrics").alias("metrics"))
+
     def topics(self) -> DataFrame:
         """topic, mentions: as written, trimmed, without blank ones; by number, then name."""
         named = self.pages.select(F.explode("summary_topics").alias("t")).select(strip("t").alias("topic")).where("topic != ''")

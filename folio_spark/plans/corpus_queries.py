@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folio_spark.functions import pages as P
 from folio_spark.functions import text as X
 from folio_spark.operators import corpus, exports, graph, synth
+from folio_spark.operators.pages import PagesFrame
 from folio_spark.plans import sql as S
 from folio_spark.session import table
 
@@ -238,6 +239,18 @@ def _manifest(s, r):
     return row.select(F.col("counts_by_kind")["rephrase"].alias("kept"), "rejected_count", "failed_count", "total")
 
 
+def _mixed(s, r):
+    """Records of one generator stand for the general ones, rejected ones for texts."""
+    sft = _sft(s, r)
+    general = sft.where("_source.document_id IS NULL OR pair_id IS NULL").select("pair_id", "messages")
+    texts = _pages(s, r).where(P.has_text("text")).select(F.col("page_id").alias("key"), "text")
+    return corpus.mix_outputs(sft, general.unionByName(sft.where("reject_reason IS NOT NULL").select("pair_id", "messages")), texts).select("output", "k", F.length("text").alias("chars"), F.size("messages").alias("turns"))
+
+
+QUERIES |= {
+    "mix_outputs": _mixed, "corpus_totals": lambda s, r: corpus.corpus_totals(_pages(s, r)), "brief_lines": lambda s, r: corpus.brief_lines(_pages(s, r), _outputs(s, r)),
+    "document_heads": lambda s, r: PagesFrame(_pages(s, r)).documents(_outputs(s, r)).select("document_id", "filename", "total_pages", "metadata"),
+}
 QUERIES |= {
     "generate_rephrased": _rephrased, "generate_tuple_passages": _tuple_passages, "generate_questions": _asked, "generate_vision_passages": _seen, "generate_judged": _judged, "generate_manifest": _manifest,
 }
@@ -248,7 +261,20 @@ _ONCE = f"""SELECT document_id, page_number, arg_max(sd, page_id) AS sd FROM (SE
 _FULL = "array_to_string(list_filter([coalesce(sd.{0}, ''), coalesce(sd.{1}, ''), coalesce(sd.{2}, '')], lambda x: x <> ''), chr(10) || chr(10))"
 _REPHRASE = f"""SELECT 'rephrase:' || document_id || ':' || page_number || ':' || style AS key, style, {S.strip('left(' + _FULL.format('text', 'tables_md', 'visual_text') + ', 4000)')} AS text
  FROM (SELECT *, unnest(list_transform(list_sort(list_transform([{_STYLES}], lambda x: struct_pack(o := sha256(sd.id || '|' || x), s := x)))[1:2], lambda x: x.s)) AS style FROM ({_ONCE}))"""
+_GENERAL = "SELECT pair_id, messages FROM sft WHERE _source.document_id IS NULL OR pair_id IS NULL UNION ALL SELECT pair_id, messages FROM sft WHERE reject_reason IS NOT NULL"
+_DRAWN = f"SELECT pair_id, messages FROM (SELECT *, row_number() OVER (ORDER BY sha256('mix' || pair_id), pair_id) - 1 AS n FROM ({_GENERAL})) WHERE n < least((SELECT count(*) FROM ({_GENERAL})), (SELECT CAST(floor(count(*) * 0.25 / 0.75) AS BIGINT) FROM sft))"
 SQL |= {
+    "mix_outputs": f"""WITH g AS ({_DRAWN}), d AS (SELECT document_id, row_number() OVER (ORDER BY sha256('mix' || document_id), document_id) - 1 AS n FROM (SELECT DISTINCT _source.document_id AS document_id FROM sft WHERE _source.document_id IS NOT NULL)),
+ v AS (SELECT document_id FROM d WHERE n >= (SELECT CAST(floor(count(*) * 0.9) AS BIGINT) FROM d)), o AS (SELECT CASE WHEN _source.document_id IN (SELECT document_id FROM v) THEN 'val' ELSE 'train_sft' END AS output, pair_id, messages FROM sft UNION ALL SELECT 'train_sft', pair_id, messages FROM g),
+ c AS (SELECT page_id, text FROM pages WHERE {S.filled('text')}), p AS (SELECT *, row_number() OVER (ORDER BY sha256('mix-replay' || pair_id), pair_id) - 1 AS n FROM g)
+ SELECT output, CAST(pair_id AS VARCHAR) AS k, NULL::INTEGER AS chars, CAST(len(messages) AS INTEGER) AS turns FROM o UNION ALL SELECT 'valid', CAST(pair_id AS VARCHAR), NULL, CAST(len(messages) AS INTEGER) FROM o WHERE output = 'val'
+ UNION ALL SELECT 'train_cpt', CAST(page_id AS VARCHAR), length(text), NULL FROM c UNION ALL SELECT 'train_cpt', 'replay:' || pair_id, length(messages[-1].content), NULL FROM p WHERE n < least((SELECT CAST(floor(count(*) * 0.05) AS BIGINT) FROM c), (SELECT count(*) FROM g)) AND coalesce(messages[-1].content, '') <> ''""",
+    "corpus_totals": f"""SELECT count(DISTINCT document_id) AS documents, count(*) FILTER (reason = 'keep') AS pages_kept, count(*) FILTER (reason <> 'keep') AS pages_dropped, (SELECT count(DISTINCT lower({S.strip('x')})) FROM (SELECT unnest(summary_topics) AS x FROM pages WHERE {S.REASON} = 'keep')) AS distinct_topics,
+ count(*) FILTER (reason = 'keep') * 500 AS real_tokens, count(*) FILTER (reason = 'keep') * 25000 AS target_50x, count(*) FILTER (reason = 'keep') * 50000 AS target_100x FROM (SELECT document_id, {S.REASON} AS reason FROM pages)""",
+    "brief_lines": f"""SELECT 'inventory' AS section, document_id, 0 AS place, '| ' || coalesce(filename, 'document') || ' | ' || coalesce(CAST(total_pages AS VARCHAR), '0') || ' |' AS line FROM doc_outputs
+ UNION ALL SELECT 'topics', NULL, -mentions, '| ' || label || ' | ' || mentions || ' |' FROM (SELECT lower(t) AS topic, count(*) AS mentions, arg_min(t, (page_id, k)) AS label FROM (SELECT page_id, k, {S.strip('x')} AS t FROM (SELECT page_id, unnest(summary_topics) AS x, generate_subscripts(summary_topics, 1) AS k FROM pages)) WHERE t <> '' GROUP BY 1)
+ UNION ALL SELECT 'digests', document_id, n, '- ' || note FROM (SELECT document_id, note, row_number() OVER (PARTITION BY document_id ORDER BY pos, page_id) AS n FROM (SELECT document_id, pos, page_id, {S.DESCRIPTION} AS note FROM pages) WHERE coalesce(note, '') <> '') WHERE n <= 5""",
+    "document_heads": "SELECT document_id, filename, total_pages, coalesce(metadata, '{}') AS metadata FROM doc_outputs WHERE document_id IN (SELECT document_id FROM pages)",
     "generate_rephrased": f"SELECT *, CASE WHEN {S.words('text')} < 50 THEN 'rejected: output under 50 words' END AS reject_reason FROM ({_REPHRASE})",
     "generate_questions": f"""WITH q AS (SELECT 'qa:' || document_id || ':' || page_number AS key, k, note, sha256(regexp_replace(lower('What follows from this: ' || note), '[^\p{{L}}\p{{N}}\p{{M}}_]', '', 'g')) AS qhash
  FROM (SELECT *, {S.strip('n')} AS note FROM (SELECT document_id, page_number, unnest(string_split(array_to_string(list_transform(sd.notes, lambda x: '- ' || x), chr(10)), chr(10))) AS line, generate_subscripts(string_split(array_to_string(list_transform(sd.notes, lambda x: '- ' || x), chr(10)), chr(10)), 1) AS k FROM ({_ONCE})) l, (SELECT 1) one, LATERAL (SELECT substr(l.line, 3) AS n) s WHERE starts_with(l.line, '- ')) WHERE {S.words('note')} >= 10)
