@@ -276,7 +276,7 @@ SQL |= {
  UNION ALL SELECT 'digests', document_id, n, '- ' || note FROM (SELECT document_id, note, row_number() OVER (PARTITION BY document_id ORDER BY pos, page_id) AS n FROM (SELECT document_id, pos, page_id, {S.DESCRIPTION} AS note FROM pages) WHERE coalesce(note, '') <> '') WHERE n <= 5""",
     "document_heads": "SELECT document_id, filename, total_pages, coalesce(metadata, '{}') AS metadata FROM doc_outputs WHERE document_id IN (SELECT document_id FROM pages)",
     "generate_rephrased": f"SELECT *, CASE WHEN {S.words('text')} < 50 THEN 'rejected: output under 50 words' END AS reject_reason FROM ({_REPHRASE})",
-    "generate_questions": f"""WITH q AS (SELECT 'qa:' || document_id || ':' || page_number AS key, k, note, sha256(regexp_replace(lower('What follows from this: ' || note), '[^\p{{L}}\p{{N}}\p{{M}}_]', '', 'g')) AS qhash
+    "generate_questions": f"""WITH q AS (SELECT 'qa:' || document_id || ':' || page_number AS key, k, note, sha256(regexp_replace(lower('What follows from this: ' || note), '[^\\p{{L}}\\p{{N}}\\p{{M}}_]', '', 'g')) AS qhash
  FROM (SELECT *, {S.strip('n')} AS note FROM (SELECT document_id, page_number, unnest(string_split(array_to_string(list_transform(sd.notes, lambda x: '- ' || x), chr(10)), chr(10))) AS line, generate_subscripts(string_split(array_to_string(list_transform(sd.notes, lambda x: '- ' || x), chr(10)), chr(10)), 1) AS k FROM ({_ONCE})) l, (SELECT 1) one, LATERAL (SELECT substr(l.line, 3) AS n) s WHERE starts_with(l.line, '- ')) WHERE {S.words('note')} >= 10)
  SELECT key, qhash, note AS answer FROM q QUALIFY row_number() OVER (PARTITION BY qhash ORDER BY key, k) = 1""",
     "generate_judged": "SELECT pair_id, 'judge:' || coalesce(document_id, '') || ':' || coalesce(CAST(n AS VARCHAR), '') || ':' || (spot // 15) AS key, 8 AS groundedness, 7 AS clarity, CAST(8 - (spot % 15 + 1) % 2 AS INTEGER) AS usefulness FROM (SELECT pair_id, _source.document_id AS document_id, _source.page_number AS n, row_number() OVER (PARTITION BY _source.document_id, _source.page_number ORDER BY pair_id) - 1 AS spot FROM sft)",
