@@ -79,9 +79,18 @@ def page_context() -> Column:
     return F.array_join(F.filter(parts, lambda x: x != ""), "\n\n")
 
 
+def token_sum(texts: Column) -> Column:
+    """Estimated tokens of all the texts of an array."""
+    from folio_spark.functions.text import estimate_tokens
+
+    return F.aggregate(F.coalesce(texts, F.array().cast("array<string>")), F.lit(0).cast("bigint"), lambda n, x: n + estimate_tokens(x))
+
+
 def page_tokens() -> Column:
     """Estimated tokens of text and every table cell."""
-    from folio_spark.functions.text import estimate_tokens
+    return token_sum(F.array("text")) + token_sum(F.flatten(F.flatten("tables")))
+
 
-    cells = F.coalesce(F.flatten(F.flatten("tables")), F.array().cast("array<string>"))
-    return estimate_tokens("text") + F.aggregate(cells, F.lit(0).cast("bigint"), lambda n, c: n + estimate_tokens(c))
+def vision_tokens() -> Column:
+    """Estimated tokens of the image texts, and one for a classification."""
+    return F.col("image_classifier").isNotNull().cast("bigint") + token_sum(F.array(*VISUAL))

@@ -208,7 +208,21 @@ def summarize_skip(provider: Provider, context: str, policy: Policy = Policy(),
     return Summary(relevancy=0)
 
 
-MODES = {"full": summarize, "detailed": summarize_detailed, "insight": summarize_insight, "topics_only": summarize_topics, "skip": summarize_skip}
+def summarize_once(provider: Provider, context: str, policy: Policy = Policy(), clock=time.monotonic) -> Summary:
+    """For command-line models: one pass for notes and one for topics, without a score and without known tokens; a blank context is shown too."""
+    notes = note_lines(provider.ask("notes", f"Attempt 1\n\n{context}", 1).text)
+    topics = note_lines(provider.ask("topics", "Topics\n\n" + "\n".join(notes), 1).text.replace(",", "\n"))[:5] if notes else ()
+    return Summary(notes, topics, None, None, 1, 0)
+
+
+def summarize_topics_once(provider: Provider, context: str, policy: Policy = Policy(), clock=time.monotonic) -> Summary:
+    """For command-line models: topics of the whole context."""
+    return Summary(topics=note_lines(provider.ask("topics", f"Topics\n\n{context}", 1).text.replace(",", "\n"))[:5], attempts=1)
+
+
+#: Summaries by name; the last two don't leave blank pages out.
+MODES = {"full": summarize, "detailed": summarize_detailed, "insight": summarize_insight, "topics_only": summarize_topics, "skip": summarize_skip, "once": summarize_once, "topics_once": summarize_topics_once}
+BLANKS_TOO = ("once", "topics_once")
 SUMMARY = "page_id bigint, notes array<string>, topics array<string>, relevancy int, validated boolean, attempts int, tokens bigint, exhausted string, passes array<array<string>>, error string"
 
 
@@ -234,6 +248,8 @@ def summaries(pages: DataFrame, provider: Provider, policy: Policy = Policy(), d
     values = {"notes": "array()", "topics": "array()", "relevancy": "0", "validated": "NULL", "attempts": "0", "tokens": "0", "exhausted": "NULL", "passes": "array()", "error": "NULL"}
     kinds = dict(c.split(" ", 1) for c in SUMMARY.split(", "))
     nothing = rows.where(blank).selectExpr("page_id", *[f"CAST({v} AS {kinds[c]}) AS {c}" for c, v in values.items()])
+    if mode in BLANKS_TOO:
+        return rows.mapInPandas(skip_empty(run), SUMMARY)
     return rows.where(~blank).mapInPandas(skip_empty(run), SUMMARY).unionByName(nothing)
 
 
@@ -272,6 +288,13 @@ def vision(pages: DataFrame, provider: Provider) -> DataFrame:
     return pages.where("coalesce(image_base64, '') <> ''").select("page_id", "image_base64").mapInPandas(skip_empty(run), VISION)
 
 
+def spent_tokens(pages: DataFrame, done: DataFrame) -> DataFrame:
+    """page_id, tokens of each summary: those reported, or where a model reports none, an estimate of the page's text, tables and image texts, and of notes and topics."""
+    shown = pages.select("page_id", (P.page_tokens() + P.vision_tokens()).alias("shown"))
+    both = done.select("page_id", "tokens", P.token_sum(F.concat("notes", "topics")).alias("said")).join(shown, "page_id")
+    return both.select("page_id", F.when(F.col("tokens") == 0, F.col("shown") + F.col("said")).otherwise(F.col("tokens")).alias("tokens"))
+
+
 def stage_metrics(done: DataFrame) -> DataFrame:
     """pages, tokens, attempts, average relevancy (whole, rounded down, at most 100; null without scores)."""
     mean = F.floor(F.sum("relevancy") / F.count("relevancy"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio_spark.functions.text import lines, strip
@@ -24,13 +26,21 @@ def cells(line: Column, keep_spaces: bool = False) -> Column:
 def text_tables(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key``, table_no, n_rows, n_cols, first_line: maximal runs of at least two lines with one number of cells.
 
-    Runs are islands of a window over the lines of one text.
+    Lines are cut into cells in the JVM; the runs in a text's numbers of cells are found row by row, so nothing is shuffled.
     """
-    at = rows.select(key, F.posexplode(lines(text)).alias("line_no", "line")).withColumn("n", F.size(cells(F.col("line"))))
-    order = Window.partitionBy(key).orderBy("line_no")
-    runs = at.withColumn("new", F.coalesce((F.col("n") != F.lag("n").over(order)).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
-    found = runs.where("n >= 2").groupBy(key, "run").agg(F.count("*").alias("n_rows"), F.first("n").alias("n_cols"), F.min("line_no").alias("first_line")).where("n_rows >= 2")
-    return found.withColumn("table_no", F.row_number().over(Window.partitionBy(key).orderBy("first_line"))).select(key, "table_no", "n_rows", "n_cols", "first_line")
+
+    @F.pandas_udf("array<struct<n_rows: bigint, n_cols: int, first_line: int>>")
+    def runs(counts: pd.Series) -> pd.Series:
+        def of(n: np.ndarray) -> list[dict]:
+            n = np.asarray(n)
+            starts = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]])) if len(n) else np.zeros(0, int)
+            long = np.diff(np.append(starts, len(n)))
+            return [{"n_rows": int(k), "n_cols": int(n[a]), "first_line": int(a)} for a, k in zip(starts, long) if n[a] >= 2 and k >= 2]
+
+        return counts.map(of)
+
+    at = rows.where(F.col(text).isNotNull()).select(key, runs(F.transform(lines(text), lambda x: F.size(cells(x)))).alias("found"))
+    return at.select(key, F.posexplode("found").alias("at", "t")).select(key, (F.col("at") + 1).alias("table_no"), "t.n_rows", "t.n_cols", "t.first_line")
 
 
 def footer_move(text: Column) -> Column:

@@ -62,6 +62,7 @@ QUERIES = {
     "visual_text": lambda s, r: _rows(s, r).where(P.visual_text_corpus() != "").select("page_id", P.visual_text_corpus().alias("corpus_form"), P.visual_text_query().alias("query_form")),
     "page_context": lambda s, r: _rows(s, r).select("page_id", P.page_context().alias("context")),
     "page_tokens": lambda s, r: _rows(s, r).select("page_id", P.page_tokens().alias("tokens"), X.word_count("text").alias("words")),
+    "vision_tokens": lambda s, r: _rows(s, r).select("page_id", P.vision_tokens().alias("tokens")),
     "token_totals_by_document": lambda s, r: _rows(s, r).select("document_id", P.page_tokens().alias("t")).groupBy("document_id").agg(F.sum("t").alias("tokens")),
     "clean_bullets": lambda s, r: _notes(s, r).select("page_id", F.array_join(X.clean_bullets("raw"), "\n").alias("notes")),
     "clean_topics": lambda s, r: _notes(s, r).where("topics IS NOT NULL").select("page_id", F.array_join(X.clean_topics("topics"), "\n").alias("topics")),
@@ -117,6 +118,7 @@ SQL = {
     "visual_text": f"SELECT page_id, {S.VISUAL_CORPUS} AS corpus_form, {S.VISUAL_QUERY} AS query_form FROM pages WHERE {S.VISUAL_CORPUS} <> ''",
     "page_context": f"SELECT page_id, array_to_string(list_filter(list_concat([coalesce({S.strip('text')}, '')], list_transform(coalesce(tables, []), lambda t, i: {_CONTEXT_TABLE}), [CASE WHEN {_IMAGE} <> '' THEN 'Image extraction:' || chr(10) || {_IMAGE} ELSE '' END]), lambda x: x <> ''), chr(10) || chr(10)) AS context FROM pages",
     "page_tokens": f"SELECT page_id, CAST({S.tokens('text')} + {_CELL_TOKENS} AS BIGINT) AS tokens, CAST({S.words('text')} AS INTEGER) AS words FROM pages",
+    "vision_tokens": f"SELECT page_id, CAST((image_classifier IS NOT NULL)::INTEGER + list_sum(list_transform({S.VISUALS}, lambda c: {S.tokens('c')})) AS BIGINT) AS tokens FROM pages",
     "token_totals_by_document": f"SELECT document_id, CAST(sum({S.tokens('text')} + {_CELL_TOKENS}) AS BIGINT) AS tokens FROM pages GROUP BY document_id",
     "clean_bullets": f"SELECT page_id, array_to_string(list_filter(list_transform(list_transform(summary_notes, lambda n: '* ' || n), lambda x: {_BULLET}), lambda x: x <> ''), chr(10)) AS notes FROM pages WHERE {S.some('summary_notes')}",
     "clean_topics": f"SELECT page_id, array_to_string(list_filter(list_transform(string_split(array_to_string(summary_topics, ', '), ','), lambda x: {_BULLET}), lambda x: x <> '')[1:5], chr(10)) AS topics FROM pages WHERE {S.some('summary_notes')} AND summary_topics IS NOT NULL",

@@ -67,6 +67,9 @@ def test_modes():
     assert s.notes == ("note", "other") * 2 and s.attempts == 2 and s.tokens == 4
     s = E.summarize_topics(Scripted("95", 1), "x" * 3000)
     assert (s.topics, s.relevancy, s.attempts, s.validated) == (("a", "b", "c"), 0, 1, None)
+    s = E.summarize_once(Scripted("95", 1), "")
+    assert (s.notes, s.topics, s.relevancy, s.validated, s.attempts, s.tokens) == (("note", "other"), ("a", "b", "c"), None, None, 1, 0)
+    assert E.summarize_topics_once(Scripted("95", 1), "x").topics == ("a", "b", "c")
     assert E.summarize_skip(Scripted("95", 1), "text") == E.Summary(relevancy=0) == E.summarize(Scripted("95", 1), " \n")
 
 
@@ -101,11 +104,13 @@ def test_retries_back_off():
 
 
 def test_summaries_degrade_per_page_and_resume(spark):
-    cols = "page_id bigint, text string, tables array<array<array<string>>>, image_text string"
-    pages = spark.createDataFrame([(1, "fine", [], None), (2, "boom", [], None), (3, None, None, None), (4, "done", [], None)], cols)
+    cols = "page_id bigint, text string, tables array<array<array<string>>>, image_text string, image_text_1 string, image_text_2 string, image_text_3 string, image_classifier boolean"
+    pages = spark.createDataFrame([(1, "fine", [[["ab"]]], "seen it", *(None,) * 3, True), (2, "boom", [], *(None,) * 5), (3, None, None, *(None,) * 5), (4, "done", [], *(None,) * 5)], cols)
     done = spark.createDataFrame([(4,)], "page_id bigint")
     got = {r.page_id: r for r in E.summaries(pages, Scripted("95", 1), done=done).collect()}
     assert set(got) == {1, 2, 3} and got[1].relevancy == 95 and got[2].error == "RuntimeError: no model" and got[2].relevancy is None and got[3].attempts == 0 and got[3].validated is None
+    once = E.summaries(pages.where("page_id IN (1, 3)"), Scripted("95", 1), mode="once")
+    assert {r.page_id: r.tokens for r in E.spent_tokens(pages, once).collect()} == {1: 1 + 1 + 3 + 6, 3: 6}
     metrics = E.stage_metrics(E.summaries(pages.where("page_id = 1"), Scripted("95", 1))).first()
     assert (metrics.pages_processed, metrics.tokens, metrics.avg_relevancy) == (1, 3, 95)
 
