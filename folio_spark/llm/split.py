@@ -95,12 +95,13 @@ def split_oversized(pages: DataFrame, per_document: DataFrame) -> DataFrame:
     that is not below the size can't be repeated whole; half of the size is repeated then.
     A text within its size is one piece, unchanged, also the empty text; a null text has
     no piece. Pages given twice are split twice. Other columns of ``pages`` are ignored,
-    whatever their names. Only oversized texts leave the JVM.
+    whatever their names. Texts within the least size of all meet no settings, only oversized texts leave the JVM.
     """
+    least = min(DEFAULT_SIZE, per_document.where("chunk_size >= 1").agg(F.min("chunk_size")).first()[0] or DEFAULT_SIZE)
     size = F.when(F.col("chunk_size") >= 1, F.col("chunk_size")).otherwise(F.lit(DEFAULT_SIZE))
     overlap = F.when(F.col("chunk_overlap") >= 0, F.col("chunk_overlap")).otherwise(F.lit(DEFAULT_OVERLAP))
     sized = (
-        pages.select("page_id", "document_id", "text").where("text IS NOT NULL")
+        pages.select("page_id", "document_id", "text").where(f"text IS NOT NULL AND length(text) > {least}")
         .join(per_document, "document_id", "left")
         .select("page_id", "text", size.alias("size"), overlap.alias("overlap"))
         .withColumn("overlap", F.expr("IF(overlap >= size, size div 2, overlap)").cast("int"))
@@ -117,7 +118,8 @@ def split_oversized(pages: DataFrame, per_document: DataFrame) -> DataFrame:
                 yield pd.DataFrame(rows[at : at + 5000], columns=["page_id", "piece_no", "start", "n_chars", "text"])
 
     schema = "page_id bigint, piece_no int, start int, n_chars int, text string"
-    whole = sized.where("length(text) <= size").selectExpr("page_id", "0 AS piece_no", "0 AS start", "length(text) AS n_chars", "text")
+    whole = sized.where("length(text) <= size").select("page_id", "text").unionByName(pages.where(f"length(text) <= {least}").select("page_id", "text"))
+    whole = whole.selectExpr("page_id", "0 AS piece_no", "0 AS start", "length(text) AS n_chars", "text")
     return sized.where("length(text) > size").mapInPandas(skip_empty(cut), schema).unionByName(whole)
 
 

@@ -22,7 +22,7 @@ def test_pieces_cover_the_text_and_repeat_the_overlap(text, size, data):
 def test_cuts_at_the_strongest_boundaries():
     text = "One two. Three four.\n\nFive six. Seven eight."
     assert [text[a:b] for a, b in S.spans(text, 30, 0)] == ["One two. Three four.\n\n", "Five six. Seven eight."]
-    assert S.spans("a" * 25, 10, 3) == [(0, 10), (4, 14), (11, 21), (18, 25)] or all(b - a <= 10 for a, b in S.spans("a" * 25, 10, 3))
+    assert all(b - a <= 10 for a, b in S.spans("a" * 25, 10, 3))
 
 
 def test_operator_defaults_nulls_and_clashing_names(spark):
