@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,8 +15,11 @@ from folio_spark.session import skip_empty, table
 
 #: ISO 639 codes of three letters that stand for a code of two.
 THREE = {"eng": "en", "fra": "fr", "fre": "fr", "deu": "de", "ger": "de", "spa": "es", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl"}
-GRAM_SLOTS, TAIL_SLOTS, TAIL_MAX = 1 << 14, 1 << 19, 9
-MAX_LABELLED = 1500
+GRAM_SLOTS, TAIL_SLOTS, TAIL_MAX = 1 << 14, 3 << 20, 9
+#: For each length of a text's end the bits of its slot and the first slot: short ends have slots of their own.
+TAIL_AT = [(18, 2 << 20), (18, (2 << 20) + (1 << 18)), (19, (2 << 20) + (1 << 19)), *[(21, 0)] * 6]
+#: Slots in a row of counts, and characters counted at a time.
+BLOCK, CHUNK = 2048, 2_000_000
 
 _QUOTED = re.compile(r"[“„«][^“”„«»]*[”“»]|\"[^\"\n]*\"")
 _ITEM = re.compile(r"^\s*(?:[-*•–·]|\d{1,3}[.)])\s+")
@@ -31,35 +32,103 @@ def language_code(label: str | None) -> str | None:
     return THREE.get(base, base) or None
 
 
-def gram_slots(text: str) -> np.ndarray:
-    """Hash slots of the character 1-, 2- and 3-grams of the letters and single blanks of ``text``."""
-    plain = " " + re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " "
-    if len(plain) < 4:
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> str:
+    """The letters of a text in lower case, with single blanks between and around them."""
+    return " " + _NO_LETTERS.sub(" ", text.lower()).strip() + " "
+
+
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
+def gram_slots(texts: list[str]) -> np.ndarray:
+    """Hash slots of the character 1-, 2- and 3-grams within each of some texts made of ``letters``."""
+    texts = [t for t in texts if len(t) >= 4]
+    if not texts:
         return np.zeros(0, np.int64)
-    c = np.frombuffer(plain.encode("utf-32-le"), np.uint32).astype(np.int64)
-    one = c * 2654435761
-    two = c[:-1] * 40503 + c[1:] * 69069 + 7
-    three = c[:-2] * 1640531527 + c[1:-1] * 97531 + c[2:] * 3266489917 + 13
-    grams = np.concatenate([one, two, three])
+    c, ends = codes("".join(texts)), np.cumsum([len(t) for t in texts])
+    two, three = c[:-1] * 40503 + c[1:] * 69069 + 7, c[:-2] * 1640531527 + c[1:-1] * 97531 + c[2:] * 3266489917 + 13
+    across = ends[:-1, None]
+    grams = np.concatenate([c * 2654435761, np.delete(two, across - 1), np.delete(three, across - [1, 2])])
     return ((grams ^ (grams >> 15)) & 0x7FFFFFFF) % GRAM_SLOTS
 
 
+_ODD = [(0x9E3779B97F4A7C15 * (2 * n + 1) * (2 * n + 3) | 1) % (1 << 64) for n in range(TAIL_MAX)]
+_SPREAD = 0xFF51AFD7ED558CCD
+
+
+def folded(c: str) -> int:
+    """The code of a character in lower case; digits are made equal."""
+    return ord("0") if c.isdecimal() else ord(c.lower()) if len(c.lower()) == 1 else ord(c)
+
+
 def tail_slots(text: str) -> list[int]:
-    """Hash slots of the last 1..TAIL_MAX characters of ``text``, digits made equal."""
-    tail = re.sub(r"\d", "0", text[-TAIL_MAX:].lower())
-    return [zlib.crc32(tail[-n:].encode()) % TAIL_SLOTS for n in range(1, len(tail) + 1)]
+    """Hash slots of the last 1..TAIL_MAX characters of ``text``, digits and case made equal."""
+    out, h = [], 0
+    for c, odd, (bits, base) in zip(reversed(text[-TAIL_MAX:]), _ODD, TAIL_AT):
+        h += (folded(c) + 1) * odd
+        out.append((((h ^ ((h % (1 << 64)) >> 31)) * _SPREAD) % (1 << 64) >> 64 - bits) + base)
+    return out
 
 
-def endings(text: str) -> Iterator[tuple[str, str]]:
-    """("prose" or "item", unit): the sentences, and the list items without a final mark, of ``text``."""
+def endings(text: str) -> Iterator[tuple[str, int, int]]:
+    """("prose" or "item", start, end): the sentences, and the list items without a final mark, of ``text``."""
     for m in _UNIT.finditer(text):
         unit = m.group().rstrip()
         if len(unit) < 20 or unit.lstrip()[:1] in "|#":
             continue
         if unit[-1] in ".!?":
-            yield "prose", unit
+            yield "prose", m.start(), m.start() + len(unit)
         elif _ITEM.match(unit) and unit[-1] not in "…:,(–-":
-            yield "item", unit
+            yield "item", m.start(), m.start() + len(unit)
+
+
+class TailCounts:
+    """How often each ending, and each place inside that a text could break off at, occurs by its last characters.
+
+    The last slot of a kind also counts its texts.
+    """
+
+    def __init__(self):
+        self.counts = {k: np.zeros(TAIL_SLOTS, np.int64) for k in ("prose", "item", "inside")}
+        self.known, self.blank = np.full(0x110000, -1, np.int64), np.zeros(0x110000, bool)
+
+    def add(self, texts: list[str]) -> None:
+        units, base = [], 0
+        for t in texts:
+            units += [(kind, base + a, base + b) for kind, a, b in endings(t)]
+            base += len(t)
+        if not units:
+            return
+        raw = codes("".join(texts))
+        fold = self.known[raw]
+        if (fold < 0).any():
+            for c in np.unique(raw[fold < 0]).tolist():
+                self.known[c], self.blank[c] = folded(chr(c)), chr(c).isspace()
+            fold = self.known[raw]
+        kinds, (starts, ends) = np.array([u[0] for u in units]), np.array([u[1:] for u in units], np.int64).T
+        # Every place from the 8th character on to the 4th from the end, or the last character before it that is no blank.
+        sizes = ends - starts - 11
+        at = np.repeat(starts + 7 - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        at = np.maximum.accumulate(np.where(self.blank[raw], -1, np.arange(len(raw))))[at]
+        length = at - np.repeat(starts, sizes) + 1
+        groups = [("inside", at[length >= TAIL_MAX], TAIL_MAX), *(("inside", at[length == n], n) for n in range(1, TAIL_MAX)), *((k, ends[kinds == k] - 1, TAIL_MAX) for k in ("prose", "item"))]
+        h, plain = np.zeros(len(raw), np.uint64), (fold + 1).astype(np.uint64)
+        for n, (odd, (bits, base)) in enumerate(zip(_ODD, TAIL_AT)):
+            h[n:] += plain[: len(raw) - n] * np.uint64(odd)
+            slots = (((h ^ (h >> np.uint64(31))) * np.uint64(_SPREAD)) >> np.uint64(64 - bits)).astype(np.int64) + base
+            for kind, places, most in groups:
+                if n < most and len(places):
+                    if len(places) > TAIL_SLOTS // 16:
+                        self.counts[kind] += np.bincount(slots[places], minlength=TAIL_SLOTS)
+                    else:
+                        np.add.at(self.counts[kind], slots[places], 1)
+        self.counts["inside"][-1] += len(at)
+        for k in ("prose", "item"):
+            self.counts[k][-1] += (kinds == k).sum()
 
 
 @dataclass
@@ -72,7 +141,7 @@ class Model:
 
     def posteriors(self, text: str) -> dict[str, float]:
         """Log posteriors of the languages, prior equal; empty if the text has too few letters."""
-        at = gram_slots(text)
+        at = gram_slots([letters(text)])
         if not len(self.langs) or not len(at):
             return {}
         scores = self.grams[:, at].sum(1)
@@ -82,14 +151,15 @@ class Model:
     def complete(self, text: str, kind: str) -> float:
         """Likelihood share of a text of this kind ending as it does, against breaking off there.
 
-        The longest ending seen in training counts most. Prose ends with a mark: what its last
+        The longest ending seen in training counts most; it can't have been seen more often than its own end, so
+        what shares its slot counts no more than that. Prose ends with a mark: what its last
         character alone says is an upper bound.
         """
         ends, inside = self.tails[kind], self.tails["inside"]
         weight = max(1.0, ends[-1]) / max(1.0, inside[-1])
-        p, most = 0.5, 1.0
+        p, most, e, i = 0.5, 1.0, float("inf"), float("inf")
         for n, at in enumerate(tail_slots(text.rstrip())):
-            e, i = float(ends[at]), float(inside[at] * weight)
+            e, i = min(e, float(ends[at])), min(i, float(inside[at] * weight))
             if not e + i:
                 break
             p = (e + 2 * p) / (e + i + 2)
@@ -98,47 +168,58 @@ class Model:
         return min(p, most)
 
 
-def fit(documents: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """Train on at most ``max_labelled`` documents that carry a language label.
+def fit(documents: DataFrame) -> Model:
+    """Train on all documents that carry a language label.
 
-    The sample is the documents with the smallest hash of the id, whole texts, the same on
-    every run. Counts are made in the executors and added up by slot, so the driver gets a
-    table bounded by slots and languages whatever the texts' lengths. Languages with fewer
-    than 1 % of the sample are left out: rare labels are typing errors more often than not.
+    Counts are made in the executors and added up by slot, in rows of BLOCK slots, so what leaves a task and what the
+    driver gets is bounded by slots and languages whatever the texts' number and lengths. Languages with fewer
+    than 1 % of the documents are left out: rare labels are typing errors more often than not.
     """
-    ids = documents.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    sample = documents.select("doc_id", "lang", "text").where("text IS NOT NULL AND lang IS NOT NULL").join(F.broadcast(ids), "doc_id", "left_semi")
+    labelled = documents.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL").select("lang", "text")
+
+    def blocks(kind: str, lang: str, counts: np.ndarray) -> pd.DataFrame:
+        rows = counts.reshape(-1, min(BLOCK, len(counts)))
+        some = np.flatnonzero(rows.any(1))
+        return pd.DataFrame({"kind": kind, "lang": lang, "block": some, "counts": [rows[k].tobytes() for k in some]})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: Counter = Counter()
+        docs: dict[str, int] = {}
+        grams: dict[str, np.ndarray] = {}
+        tails = TailCounts()
         for pdf in batches:
-            for lang, text in zip(pdf.lang, pdf.text):
-                code = language_code(lang)
-                if code:
-                    at, n = np.unique(gram_slots(text), return_counts=True)
-                    totals.update({("gram", code, int(a)): int(b) for a, b in zip(at, n)})
-                    totals["docs", code, 0] += 1
-                for kind, unit in endings(text):
-                    totals.update((kind, "", a) for a in tail_slots(unit))
-                    totals[kind, "", TAIL_SLOTS - 1] += 1
-                    for stop in range(8 + len(unit) % 5, len(unit) - 3, 5):
-                        totals.update(("inside", "", a) for a in tail_slots(unit[:stop].rstrip()))
-                        totals["inside", "", TAIL_SLOTS - 1] += 1
-        yield pd.DataFrame([(*k, n) for k, n in totals.items()], columns=["kind", "lang", "slot", "n"])
-
-    schema = "kind string, lang string, slot int, n bigint"
-    rows = sample.mapInPandas(skip_empty(count), schema).groupBy("kind", "lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+            code = pdf.lang.map({x: language_code(x) for x in pdf.lang.unique()})
+            part = pdf.text.str.len().cumsum() // CHUNK
+            for _, own in pdf.text.groupby(part):
+                tails.add(own.tolist())
+            for (lang, _), own in pdf.text.groupby([code, part]):
+                docs[lang] = docs.get(lang, 0) + len(own)
+                grams[lang] = grams.get(lang, 0) + np.bincount(gram_slots([letters(t) for t in own]), minlength=GRAM_SLOTS)
+        for lang, n in docs.items():
+            yield blocks("docs", lang, np.array([n], np.int64))
+            yield blocks("gram", lang, grams[lang])
+        for kind, counts in tails.counts.items():
+            yield blocks(kind, "", counts)
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for kind, lang, block, raw in zip(pdf.kind, pdf.lang, pdf.block, pdf.counts):
+                n = np.frombuffer(raw, np.int64)
+                totals[kind, lang, block] = totals[kind, lang, block] + n if (kind, lang, block) in totals else n
+        yield pd.DataFrame([(*k, (n if k[0] in ("docs", "gram") else n.astype(np.float32)).tobytes()) for k, n in totals.items()], columns=["kind", "lang", "block", "counts"])
+
+    schema = "kind string, lang string, block int, counts binary"
+    rows = labelled.mapInPandas(skip_empty(count), schema).repartition("kind", "lang", "block").mapInPandas(skip_empty(added), schema).toPandas()
     model = Model()
-    docs = rows[rows.kind == "docs"]
-    model.langs = sorted(docs.lang[docs.n >= 0.01 * max(1, docs.n.sum())])
+    docs = {r.lang: int(np.frombuffer(r.counts, np.int64)[0]) for r in rows[rows.kind == "docs"].itertuples()}
+    model.langs = sorted(k for k, n in docs.items() if n >= 0.01 * max(1, sum(docs.values())))
     model.grams = np.zeros((len(model.langs), GRAM_SLOTS))
-    for k, lang in enumerate(model.langs):
-        own = rows[(rows.kind == "gram") & (rows.lang == lang)]
-        model.grams[k, own.slot.to_numpy()] = own.n.to_numpy()
+    for r in rows[rows.kind != "docs"].itertuples():
+        if r.kind != "gram":
+            model.tails[r.kind][r.block * BLOCK :][:BLOCK] = np.frombuffer(r.counts, np.float32)
+        elif r.lang in model.langs:
+            model.grams[model.langs.index(r.lang), r.block * BLOCK :][:BLOCK] = np.frombuffer(r.counts, np.int64)
     model.grams = np.log((model.grams + 0.5) / (model.grams.sum(1, keepdims=True) + 0.5 * GRAM_SLOTS)) if model.langs else model.grams
-    for kind in model.tails:
-        own = rows[rows.kind == kind]
-        model.tails[kind][own.slot.to_numpy()] = own.n.to_numpy()
     return model
 
 

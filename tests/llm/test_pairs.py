@@ -70,3 +70,31 @@ def test_operator_with_odd_records(spark, model):
 def test_held_out_language_accuracy(model):
     held = {"en": "The delivery window was postponed by the service desk.", "de": "Die Abteilung bestätigte das Protokoll der Sitzung.", "fr": "Le service des archives a publié la liste des contrats.", "es": "El taller de la obra aplazó la entrega de los contratos."}
     assert all(max((p := model.posteriors(t)), key=p.get) == lang for lang, t in held.items())
+
+
+def test_all_labelled_documents_are_counted(spark):
+    """2,000 documents, the language of which only 30 are in, with endings of its own; more than 1,500 and no sample can count exactly."""
+    rows = [(i, "en" if i % 67 else "fr", WORLD["en" if i % 67 else "fr"][i % 3] + f"\n- entry of the list of number {i}") for i in range(1, 2001)]
+    model = P.fit(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"))
+    assert model.langs == ["en", "fr"]
+    assert model.tails["prose"][-1] == model.tails["item"][-1] == 2000
+    per_doc = sum(len(text) - 11 for _, _, full in rows for text in full.split("\n"))
+    assert model.tails["inside"][-1] == per_doc
+    for k in range(3):
+        ending = [model.tails["prose"][at] for at in P.tail_slots(WORLD["fr"][k])][-1]
+        assert ending == sum(t.startswith(WORLD["fr"][k]) for _, _, t in rows)
+
+
+def test_counts_are_those_of_each_text_by_itself():
+    texts = ["The İstanbul report of 2031 ended with  a table.   It was read twice by the committee!", "Short.", "- a list item without a mark at 12\n- Élan vital of the water meters", "", "x" * 25 + "?"]
+    got, want = P.TailCounts(), {k: {} for k in ("prose", "item", "inside")}
+    got.add(texts)
+    for t in texts:
+        for kind, a, b in P.endings(t):
+            for k, piece in [(kind, t[a:b]), *(("inside", t[a : a + stop].rstrip()) for stop in range(8, b - a - 3))]:
+                for at in [*P.tail_slots(piece), P.TAIL_SLOTS - 1]:
+                    want[k][at] = want[k].get(at, 0) + 1
+    for k, counts in got.counts.items():
+        assert {int(at): int(counts[at]) for at in counts.nonzero()[0]} == want[k]
+    plain = [P.letters(t) for t in texts]
+    assert sorted(P.gram_slots(plain)) == sorted(x for t in plain for x in P.gram_slots([t]))
